@@ -10,8 +10,11 @@ each for itself.  Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import os
+import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,31 +22,34 @@ from pyspark.sql import functions as F
 
 from quiver.llm.common import small_batches
 
-#: The published pre-token pattern of byte-level BPE.
-BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The published pre-token pattern of byte-level BPE, with \p{L} and \p{N} written
+#: as classes that the re module has; they are the same for the characters of PLAIN.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 
-#: Blocks whose characters every Unicode release since 2010 puts into the same class.  Texts with
-#: others go to the library whole, as its character tables can be older than the regex module's.
-STABLE_BLOCKS = "\u0000-ԧա-ֆא-תء-ؿف-يऄ-ह‐-‧‰-⁞₠-₸←-⇿ぁ-ゖァ-ヺ一-龥가-힣"
+#: Characters that every Unicode release since 2010 and both libraries put into the same class.
+#: Texts with others go to the tokenizer whole.
+PLAIN = "\u0000-\u001b -±´-¸º»¿-ԧա-ֆא-תء-ؿف-يऄ-ह‐-‧‰-⁞₠-₸←-⇿ぁ-ゖァ-ヺ一-龥가-힣"
 
 #: Distinct pre-tokens that a worker remembers before it starts its table anew.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Longer pre-tokens are counted but not remembered.
 LONG = 64
+#: Texts whose new pre-tokens are counted together.
+GROUP = 100
 
 
 class Counter_:
     """Counts tokens of texts for one worker."""
 
     def __init__(self, path: str, memory: int = MEMORY) -> None:
-        import regex
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memory = memory
         self.pieces: dict[str, int] = {}
-        self.split = regex.compile(BYTE_LEVEL_PATTERN).findall
-        self.unstable = regex.compile(f"[^{STABLE_BLOCKS}]").search
+        self.split = re.compile(BYTE_LEVEL_PATTERN).findall
+        self.odd = re.compile(f"[^{PLAIN}]").search
         self.special = [t.content for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
@@ -59,32 +65,48 @@ class Counter_:
             found.update(self.split(p))
         return found, special
 
-    def learn(self, new: set[str]) -> None:
-        words = list(new)
-        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            self.pieces[w] = len(e.ids)
+    def learn(self, new: list[str]) -> None:
+        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.pieces[w] = len(e)
 
     def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text.  Pre-tokens that are new to the worker are counted in one call per group of texts."""
+        out: list[int] = []
+        for at in range(0, len(texts), GROUP):
+            out += self.group(texts[at : at + GROUP])
+        return out
+
+    def group(self, texts: list[str]) -> list[int]:
+        found = [None if self.odd(t) else self.frequencies(t) for t in texts]
+        pieces = self.pieces
+        if len(pieces) > self.memory:
+            pieces.clear()
+        known = [f and list(map(pieces.get, f[0])) for f in found]
+        new = {w for f, k in zip(found, known, strict=True) if f and None in k for w, n in zip(f[0], k, strict=True) if n is None}
+        self.learn(list(new))
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, f in zip(texts, found, strict=True) if f is None], add_special_tokens=False))
         out = []
-        for text in texts:
-            if self.unstable(text):
-                out.append(len(self.tokenizer.encode(text, add_special_tokens=False).ids))
-                continue
-            found, total = self.frequencies(text)
-            pieces = self.pieces
-            if new := found.keys() - pieces.keys():
-                if len(pieces) + len(new) > self.memory:
-                    pieces.clear()
-                    new = set(found)
-                self.learn(new)
-            total += sum(n * pieces[w] for w, n in found.items())
-            for w in new:
-                if len(w) > LONG:
-                    del pieces[w]
-            out.append(total)
+        for f, k in zip(found, known, strict=True):
+            if f is None:
+                out.append(len(next(whole)))
+            else:
+                out.append(f[1] + sum(map(mul, f[0].values(), map(pieces.__getitem__, f[0]) if None in k else k)))
+        for w in new:
+            if len(w) > LONG:
+                del pieces[w]
         return out
 
 
+#: One counter for each tokenizer file in a worker, which serves many tasks.
+_COUNTERS: dict[str, Counter_] = {}
+
+
+def counter(path: str) -> Counter_:
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter_(path)
+    return _COUNTERS[path]
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row of docs, without a shuffle.
 
@@ -95,10 +117,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     kind = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter_(tokenizer_path)
+        count = counter(tokenizer_path).counts
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = counter.counts(texts)
+            n = count(texts)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
