@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,3 +46,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of whole texts: fewer rows in each, as a text can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what was checkpointed before."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

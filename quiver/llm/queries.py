@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import media_columns, mixing, sharding, token_counts, url_filters
+from quiver.llm import decontamination, line_dedup, media_columns, mixing, sharding, simhash, suffix_dedup, token_counts, toxicity, url_filters
 from quiver.llm.common import table
 
 #: Budget tree of op4 and the pipeline: domain of a source, and weights per level.
@@ -34,6 +34,27 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Lines shorter than this stay as they are (op1).
+LEAST_LINE = 16
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=LEAST_LINE)
+    return left.select("doc_id", "n_lines", "n_repeated", "n_near", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
+OP1_SQL = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from documents where text is not null),
+d as (select line, length(line) n, min((doc_id, no)) f from l where length(line) >= {LEAST_LINE} group by line),
+p as (select a.line x, a.f fx, b.line y, b.f fy from d a join d b on b.n = a.n and left(a.line, a.n // 2) = left(b.line, a.n // 2) and a.line <> b.line
+union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) and a.line <> b.line
+union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n + 1 and left(a.line, a.n // 2) = left(b.line, a.n // 2)
+union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n + 1 and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
+q as (select * from p where levenshtein(x, y) <= 1),
+r as (select distinct line from (select case when fx < fy then y else x end as line from q)),
+m as (select l.doc_id, l.no, l.line, d.line is not null and (doc_id, no) <> d.f as rep, r.line is not null and (doc_id, no) = d.f as near from l left join d using (line) left join r using (line))
+select k.doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_repeated, 0)::bigint n_repeated, coalesce(n_near, 0)::bigint n_near, md5(coalesce(t, '')) as kept_md5 from documents k left join (select doc_id, count(*) n_lines, count_if(rep) n_repeated, count_if(near) n_near, string_agg(line, chr(10) order by no) filter (not rep and not near) t from m group by 1) using (doc_id)"""
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), limit=512)
 
@@ -79,6 +100,23 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.telephony(table(spark, sf_dir, "documents"), with_media=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_strings(table(spark, sf_dir, "documents"), length=100, with_bytes=False)
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, distance=2)
+    return found.select("doc_id", "fingerprint", "component_id", "n_links")
+
+
 def url_list(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of pages, by rule: half of them are entered, some leave, some come back."""
     hosts = pages.select(url_filters.host_of("url").alias("pattern")).where("pattern <> ''").distinct()
@@ -111,8 +149,8 @@ select p.page_id, p.host, p.fetch_day, coalesce(m.n, 0)::bigint as n_matches, m.
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_sharding, op4_mixing, op5_media_columns, op8_url_filters)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_token_counts, op3_sharding, op4_mixing, op5_media_columns, op6_toxicity, op7_decontamination, op8_url_filters, op9_suffix_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": op4_sql(), "op8_url_filters": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_mixing": op4_sql(), "op8_url_filters": OP8_SQL}
