@@ -224,7 +224,7 @@ def training_sample(labels: DataFrame, rows: int, id_col: str, label_col: str) -
     return own.orderBy(F.xxhash64("train_id"), "train_id").limit(rows)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.02, rounds: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps, the intercept (last) without ridge."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, r = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
