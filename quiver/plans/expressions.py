@@ -338,20 +338,23 @@ class Compiler:
         # The accumulator has the type that the body gives it.
         t = start.type
         for _ in range(3):
-            made: list[T.DataType] = []
-
-            def step(acc: Column, x: Column, t: T.DataType = t, made: list = made) -> Column:
-                y = self.inside(**{e.acc: Val(acc, t), e.var: Val(x, element)})(e.body)
-                made.append(y.type)
-                return cast(y, unify([t, y.type]))
-
-            out = F.aggregate(v.col, cast(start, t), step)
-            wider = unify([t, made[0]])
+            out, wider = self.fold(e, v, start, t, element)
             if wider == t:
                 return Val(out, t)
             t = wider
         raise CypherError("InvalidArgumentType", "reduce() has no stable type")
 
+    def fold(self, e: Reduce, v: Val, start: Val, t: T.DataType, element: T.DataType) -> tuple[Column, T.DataType]:
+        """The fold with an accumulator of type t, and the type that t and the body's type need."""
+        made: list[T.DataType] = []
+
+        def step(acc: Column, x: Column) -> Column:
+            y = self.inside(**{e.acc: Val(acc, t), e.var: Val(x, element)})(e.body)
+            made.append(unify([t, y.type]))
+            return cast(y, made[-1])
+
+        return F.aggregate(v.col, cast(start, t), step), made[0]
+
     # -- calls
 
     def on_call(self, e: Call) -> Val:

@@ -111,7 +111,7 @@ add("agg_entity_key", "MATCH (n:Nation)<-[:LOCATED_IN]-(c:Customer) WITH n, coun
 # order, paging
 add("order_nulls", "UNWIND [3, null, 1] AS x WITH x ORDER BY x DESC LIMIT 2 RETURN x", "select x from (values (3), (null)) t(x)")
 add("order_multi", "MATCH (c:Customer) RETURN c.c_custkey AS k, c.c_mktsegment AS s ORDER BY s ASC, c.c_acctbal DESC, k LIMIT 25", "select c_custkey as k, c_mktsegment as s from customer order by s, c_acctbal desc, k limit 25")
-add("order_by_aggregate", "MATCH (o:Order) RETURN o.o_custkey AS c ORDER BY count(*) DESC, c LIMIT 7", "select o_custkey as c from orders group by 1 order by count(*) desc, c limit 7")
+add("order_by_aggregate", "MATCH (o:Order) RETURN o.o_custkey AS c, count(*) AS n ORDER BY count(*) * 2 DESC, c LIMIT 7", "select o_custkey as c, count(*) as n from orders group by 1 order by n desc, c limit 7")
 add("skip_limit", "MATCH (o:Order) RETURN o.o_orderkey AS k ORDER BY k SKIP 5 LIMIT $n", "select o_orderkey as k from orders order by k limit 10 offset 5", n=10)
 add("topk", "MATCH (o:Order) RETURN o.o_orderkey AS k, o.o_totalprice AS p ORDER BY p DESC, k LIMIT 10", "select o_orderkey as k, o_totalprice as p from orders order by p desc, k limit 10")
 add("limit_zero", "MATCH (o:Order) RETURN o.o_orderkey AS k LIMIT 0", "select o_orderkey as k from orders limit 0")

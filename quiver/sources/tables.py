@@ -24,9 +24,10 @@ def commerce(spark: SparkSession, folder: str) -> PropertyGraph:
     key = F.col("conv_id") * 4096 + F.col("turn")
     g = g.with_nodes("Turn", turns, key)
     g = g.with_edges("PLACED", t("orders").select("o_custkey", "o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderkey")
-    line = F.col("l_orderkey") * 64 + F.col("l_linenumber")
+    # Line numbers repeat within an order here, so a line is known by more of its columns.
+    line = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").bitwiseAND(F.lit((1 << 56) - 1))
     g = g.with_edges("CONTAINS", lines, ("Order", "l_orderkey"), ("Part", "l_partkey"), line)
-    g = g.with_edges("SHIPS", lines.select("l_orderkey", "l_linenumber", "l_suppkey"), ("Supplier", "l_suppkey"), ("Order", "l_orderkey"), line)
+    g = g.with_edges("SHIPS", lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"), ("Supplier", "l_suppkey"), ("Order", "l_orderkey"), line)
     g = g.with_edges("LOCATED_IN", t("customer").select("c_custkey", "c_nationkey"), ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey")
     g = g.with_edges("LOCATED_IN", t("supplier").select("s_suppkey", "s_nationkey"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey")
     g = g.with_edges("PART_OF", t("nation").select("n_nationkey", "n_regionkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey")
