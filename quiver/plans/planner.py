@@ -123,6 +123,15 @@ class Planner:
         for k in keys:
             scope = as_entity(scope, k)
         new = {v for p in c.paths for n in walk(p) if (v := getattr(n, "var", None))} - set(scope.vars)
+        direct = self.direct(scope, replace(c, optional=False), keys, self.used - set(keys))
+        if direct is not None:
+            found, renamed = direct
+            test = None
+            for old, own_key in renamed.items():
+                t = col(old) == col(own_key)
+                test = t if test is None else test & t
+            df = scope.df.join(found.df, test, "left").drop(*renamed.values())
+            return Scope(df, {**scope.vars, **{k: b for k, b in found.vars.items() if k in new}})
         own, renamed = self.distinct_of(scope, keys)
         found = self.match(own, replace(c, optional=False))
         found_vars = {k: b for k, b in found.vars.items() if k in new}
@@ -180,9 +189,10 @@ class Planner:
         scope, keys = self.correlated(scope, e)
         if isinstance(e, PatternTest) or self.plain(e):
             match = Match(False, (e.path,), None) if isinstance(e, PatternTest) else e.query.parts[0][0]
-            direct = self.direct(scope, match, keys)
+            direct = self.direct(scope, match, keys, set())
             if direct is not None:
-                return scope, *direct
+                found, renamed = direct
+                return scope, found.df.select(*[col(x) for x in renamed.values()]), renamed
         own, renamed = self.distinct_of(scope, keys)
         used, found = self.used, None
         queries = (((Match(False, (e.path,), None)),),) if isinstance(e, PatternTest) else e.query.parts
@@ -206,7 +216,7 @@ class Planner:
     def plain(e: Node) -> bool:
         return isinstance(e, Exists) and len(e.query.parts) == 1 and len(e.query.parts[0]) == 1 and isinstance(e.query.parts[0][0], Match) and not e.query.parts[0][0].optional
 
-    def direct(self, scope: Scope, c: Match, keys: list[str]) -> tuple[DataFrame, dict[str, str]] | None:
+    def direct(self, scope: Scope, c: Match, keys: list[str], later: set[str]) -> tuple[Scope, dict[str, str]] | None:
         """The pattern matched by itself, without the scope's rows, if it meets them in nodes of known identity only."""
         nodes = {n.var: n for p in c.paths for n in p.nodes if n.var}
         if not keys or not all(k in nodes and scope.vars[k].kind == "node" for k in keys) or any(r.varlen for p in c.paths for r in p.rels):
@@ -216,11 +226,11 @@ class Planner:
         read = field_readers((replace(c, paths=()),))
         if any(k in read and scope.vars[k].labels is None for k in keys):
             return None
-        used, self.used = self.used, read
+        used, self.used = self.used, read | later
         found = self.matcher().run(Scope(self.spark.range(1).select(), unit=True), c.paths, c.where)
         self.used = used
         renamed = {scope.vars[k].key: found.vars[k].key for k in keys}
-        return found.df.select(*[col(x) for x in renamed.values()]), renamed
+        return found, renamed
 
     def semi(self, scope: Scope, e: PatternTest | Exists, how: str) -> Scope:
         scope, found, renamed = self.inner(scope, e)
