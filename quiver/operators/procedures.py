@@ -13,12 +13,14 @@ from quiver.plans.ast import CallProc, CypherError, Labels, Param
 from quiver.plans.scope import Binding, Scope, fresh
 from quiver.plans.values import Val, equal, kind, literal
 
-#: Index procedures; they keep a record, as tables here need no index.
+#: Names of the index procedures, with the class of entity and what they do.
 INDEX_CALLS = {
-    f"db.index.{cls}.{verb}": (cls, verb)
-    for cls in ("vertex", "edge")
-    for verb in ("create", "drop", "jobs", "process", "restart")
-}
+    "db.index.createproperty": ("vertex", "create"), "db.index.createedgeproperty": ("edge", "create"),
+    "db.index.dropproperty": ("vertex", "drop"), "db.index.dropedgeproperty": ("edge", "drop"),
+    "db.index.propertybuildjobs": ("vertex", "jobs"), "db.index.edgebuildjobs": ("edge", "jobs"),
+    "db.index.processpropertybuildjobs": ("vertex", "process"), "db.index.processedgebuildjobs": ("edge", "process"),
+    "db.index.restartpropertybuild": ("vertex", "restart"), "db.index.restartedgepropertybuild": ("edge", "restart"),
+}
 
 
 @dataclass(frozen=True)
@@ -105,18 +107,31 @@ def builtin(planner, name: str, values: list[Val]) -> tuple[DataFrame, list[str]
 
 
 def index(planner, cls: str, verb: str, consts: list[Any]) -> tuple[DataFrame, list[str]]:
+    """A record of wished indexes.  They count as built at once: tables need none, so nothing is pending."""
     graph = planner.graph
-    columns = "class string, schema string, property string, state string"
-    if verb in ("create", "drop"):
-        if len(consts) != 2 or not all(isinstance(c, str) for c in consts):
-            raise CypherError("InvalidArgumentType", f"db.index.{cls}.{verb} takes a schema and a property")
-        entry = (cls, consts[0], consts[1])
-        kept = tuple(x for x in graph.indexes if x != entry)
-        planner.graph = graph = replace(graph, indexes=(*kept, entry) if verb == "create" else kept)
-        rows = [(*entry, "READY" if verb == "create" else "DROPPED")]
-    else:
-        rows = [(*x, "READY") for x in graph.indexes if x[0] == cls]
-    return graph.spark.createDataFrame(rows, columns), ["class", "schema", "property", "state"]
-
-
-__all__ = ["Procedure", "call", "literal"]
+    make = lambda rows, ddl: (graph.spark.createDataFrame(rows, ddl), [c.split()[0] for c in ddl.split(", ")])
+    if verb == "process":
+        return make([(0, 0)], "processed bigint, pending bigint")
+    if verb == "jobs":
+        name, counted = ("schema", "indexedEntities") if cls == "vertex" else ("edgeType", "indexedEdges")
+        rows = [(graph.tenant or "", s, p, False, "", entities(graph, *x)) for x in graph.indexes if x[0] == cls for _, s, p in [x]]
+        return make(rows, f"tenant string, {name} string, property string, pending boolean, checkpointVertexID string, {counted} bigint")
+    least, most = (2, 2) if verb == "restart" else (2, 3)
+    if not least <= len(consts) <= most or not all(isinstance(c, str) for c in consts[:2]) or not all(isinstance(c, bool) or c is None for c in consts[2:]):
+        raise CypherError("InvalidArgumentType", f"index procedures take a schema and a property, and to {verb} a flag")
+    entry = (cls, consts[0], consts[1])
+    there, lenient = entry in graph.indexes, bool(consts[2:] and consts[2])
+    if verb == "restart":
+        return make([(there,)], "enqueued boolean")
+    if there == (verb == "create") and not lenient:
+        raise CypherError("ProcedureCallFailed", f"the index on {entry[1]}.{entry[2]} is {'there already' if there else 'not there'}")
+    kept = tuple(x for x in graph.indexes if x != entry)
+    planner.graph = replace(graph, indexes=(*kept, entry) if verb == "create" else kept)
+    n = entities(graph, *entry) if there != (verb == "create") else 0
+    return make([(there != (verb == "create"), n)], ("created boolean, indexedEntities bigint" if verb == "create" else "dropped boolean, deletedEntities bigint"))
+
+
+def entities(graph, cls: str, schema: str, prop: str) -> int:
+    """How many vertices of the label, or edges of the type, have the property."""
+    df = graph.scan_nodes(Labels((((False, schema),),))) if cls == "vertex" else graph.scan_edges((schema,))
+    return df.where(col(prop).isNotNull()).count() if prop in df.columns else 0

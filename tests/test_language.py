@@ -133,8 +133,15 @@ def test_procedures(spark):
     assert rows(e, "UNWIND [1, 2] AS k CALL my.proc('x', k) YIELD out AS o WHERE o <> 'one' RETURN k, o") == [(2, "two")]
     with pytest.raises(CypherError):
         e.run("CALL my.proc(1, 2) YIELD out RETURN out")
-    e.run("CALL db.index.vertex.create('P', 'k')")
-    assert rows(e, "CALL db.index.vertex.jobs()") == [("vertex", "P", "k", "READY")]
+    e.run("CREATE (:P {k: 1})-[:T {w: 1}]->(:P)")
+    assert rows(e, "CALL db.index.createProperty('P', 'k')") == [(True, 1)]
+    assert rows(e, "CALL db.index.createProperty('P', 'k', true)") == [(False, 0)]
+    with pytest.raises(CypherError):
+        e.run("CALL db.index.createProperty('P', 'k')")
+    assert rows(e, "CALL db.index.propertyBuildJobs() YIELD schema, pending, indexedEntities RETURN schema, pending, indexedEntities") == [("P", False, 1)]
+    assert rows(e, "CALL db.index.createEdgeProperty('T', 'w')") == [(True, 1)]
+    assert rows(e, "CALL db.index.dropEdgeProperty('T', 'w')") == [(True, 1)]
+    assert rows(e, "CALL db.index.processEdgeBuildJobs()") == [(0, 0)]
 
 
 def test_explain_and_batch(spark):
