@@ -130,6 +130,11 @@ class PropertyGraph:
                 out.append((t, verdict is None))
         return out
 
+    def known_labels(self, labels: Labels | None, among: frozenset[str] | None = None) -> frozenset[str] | None:
+        """Labels that every row of such a scan has; None if there are none."""
+        tables = [t.labels for t, _ in self.node_tables(labels, among)]
+        return (frozenset.intersection(*tables) or None) if tables else among
+
     def scan_nodes(self, labels: Labels | None = None, among: frozenset[str] | None = None) -> DataFrame:
         frames = [t.df.where(label_test(labels, col("_labels"))) if test else t.df for t, test in self.node_tables(labels, among)]
         return union(frames, self.spark, NODE_FIELDS)

@@ -122,7 +122,8 @@ class Matcher:
             self.deferred = marker
             vars_ = {**scope.vars, n.var: Binding("node", {"_id": (marker, LONG)}, among)} if n.var else scope.vars
             return replace(scope, vars=vars_), marker, marker
-        df, b = bind_frame(self.graph.scan_nodes(n.labels, None if rels and rels[0].varlen else among), n.var or "n", "node", among)
+        among = None if rels and rels[0].varlen else among
+        df, b = bind_frame(self.graph.scan_nodes(n.labels, among), n.var or "n", "node", self.graph.known_labels(n.labels, among))
         base = scope.df if not scope.unit else None
         joined = df if base is None else base.crossJoin(df)
         out = Scope(joined, {**scope.vars, n.var: b} if n.var else dict(scope.vars))
@@ -234,7 +235,7 @@ class Matcher:
         if sure and not self.needed(n, keep):
             vars_ = {**scope.vars, n.var: Binding("node", {"_id": (to, LONG)}, among)} if n.var else dict(scope.vars)
             return Scope(scope.df, vars_), to, to
-        df, b = bind_frame(self.graph.scan_nodes(n.labels, among), n.var or "n", "node", among)
+        df, b = bind_frame(self.graph.scan_nodes(n.labels, among), n.var or "n", "node", self.graph.known_labels(n.labels, among))
         scope = Scope(scope.df.join(df, col(to) == col(b.key), "inner"), {**scope.vars, n.var: b} if n.var else dict(scope.vars))
         scope = self.inline(scope, b, n.props)
         return self.struct(scope, b, keep)

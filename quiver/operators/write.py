@@ -324,7 +324,7 @@ def rewrite_entity(planner, scope: Scope, var: str, b: Binding, new: dict[str, V
         for f, v in new.items():
             if f not in types and not isinstance(v.type, T.NullType):
                 columns.append(col(f"_new_{f}").alias(f))
-        df = checkpoint(joined.select(*columns))
+        df = joined.select(*columns)
         if isinstance(t, NodeTable):
             sure, more = t.labels, t.more
             if item.kind in LABEL_KINDS:
