@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import gc
+import os
 import tempfile
+import time
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +48,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: fewer rows in each, as a text can be long."""
+    """Arrow batches of whole texts: fewer rows in each, as a text can be long.  Also sees that workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and os.getcwd() != root and not _shipped(spark):
+        data = Path(tempfile.mkdtemp()) / "quiver_package.zip"
+        with zipfile.ZipFile(data, "w") as z:
+            for f in Path(root, "quiver").rglob("*.py"):
+                z.write(f, f.relative_to(root))
+        spark.sparkContext.addPyFile(str(data))  # the driver serves it to the executors
+
+
+def _shipped(spark: SparkSession) -> bool:
+    return any("quiver_package" in f for f in spark.sparkContext.listFiles)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of what was checkpointed before."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle and checkpoint files that nothing refers to any more.
+
+    Its scheduler holds on to the last job, and its cleaner works behind the garbage collector.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.range(1).count()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)

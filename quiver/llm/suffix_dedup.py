@@ -201,6 +201,8 @@ def removed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
     small_batches(docs.sparkSession)
     slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOWEST)).alias("id"), F.col(text_col).alias("text")).where(F.octet_length("text") >= length)
 
+    wide = 1 << (length - kmer + 1).bit_length()  # a unit's place: first start times wide, plus its further starts
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [units(t.encode(), length, kmer)[0] for t in b.column("text").to_pylist()]
@@ -211,30 +213,34 @@ def removed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
         for whole in batches:
             for at in range(0, whole.num_rows, 100):
                 b = whole.slice(at, 100)
-                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(5)]
+                out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(4)]
                 for i, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
                     raw = t.encode()
                     a, first, last = units(raw, length, kmer)
                     u = unit_hashes(raw, first, last, length)
                     new = first_of(a, u)
-                    for column, x in zip(out, (a, u, np.full(len(a), i), first, last), strict=True):
+                    for column, x in zip(out, (a, u, np.full(len(a), i), first * wide + last - first), strict=True):
                         column.append(x[new])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "u", "id", "first", "last"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["a", "u", "id", "at"])
 
     again = slim.select("text").mapInArrow(anchors, "a bigint, n int").groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").select("a")
     again = checkpoint(again)
     release(again.sparkSession)
-    found = slim.mapInArrow(all_units, "a bigint, u bigint, id bigint, first bigint, last bigint").join(again, "a")
+    found = slim.mapInArrow(all_units, "a bigint, u bigint, id bigint, at bigint").join(again, "a")
     found = checkpoint(found)
+    del again
     release(found.sparkSession)
-    heads = found.groupBy("a", "u").agg(F.min(F.struct("id", "first", "last")).alias("head"))
-    heads = checkpoint(heads.select("a", "u", F.col("head.id").alias("id"), F.col("head.first").alias("first"), F.col("head.last").alias("last")))
+    heads = found.groupBy("a", "u").agg(F.min(F.struct("id", "at")).alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = checkpoint(heads.select("a", "u", "n", "head.id", "head.at"))
     # Whole units that occur earlier.
-    head = heads.select("a", "u", F.col("id").alias("id0"), F.col("first").alias("first0"))
-    equal = found.join(head, ["a", "u"]).where("id > id0 or id = id0 and first > first0").select("id", "first", "last")
+    head = heads.where("n > 1").select("a", "u", F.col("id").alias("id0"), F.col("at").alias("at0"))
+    place = [F.expr(f"at div {wide}").alias("first"), F.expr(f"at div {wide} + at % {wide}").alias("last")]
+    equal = checkpoint(found.join(head, ["a", "u"]).where("id > id0 or id = id0 and at > at0").select("id", "at"))
     # Different units around one anchor.
-    sizes = heads.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expr(f"last - first + {length}")).alias("bytes")).where("k > 1")
-    mixed = checkpoint(heads.join(sizes, "a"))
+    sizes = heads.groupBy("a").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = checkpoint(heads.join(sizes, "a").select("a", "u", "id", *place, "k"))
+    del found, heads, head, sizes
+    release(mixed.sparkSession)
     total = mixed.where(F.col("k") <= MOST_UNITS).agg(F.sum(F.expr(f"last - first + {length}"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     asked = mixed.groupBy("id").agg(F.collect_list(F.struct("a", "u", "first", "last", "k")).alias("asked"))
@@ -242,6 +248,7 @@ def removed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
     fetched = slim.join(asked, "id").select("id", raw.alias("raw"), F.explode("asked").alias("x"))
     fetched = fetched.select("id", "x.*", F.expr(f"substring(raw, cast(x.first as int) + 1, cast(x.last - x.first as int) + {length})").alias("bytes"))
     fetched = checkpoint(fetched.drop("raw").withColumn("bucket", F.pmod(F.xxhash64("a"), F.lit(buckets))))
+    del mixed, asked
     release(fetched.sparkSession)
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -275,7 +282,7 @@ def removed(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, id_col: str
     many = fetched.where(F.col("k") > MOST_UNITS).select("id", "first", "bytes").mapInArrow(strings, "h binary, id bigint, at bigint")
     least = many.groupBy("h").agg(F.min(F.struct("id", "at")).alias("least"))
     spread = many.join(least, "h").where("id > least.id or id = least.id and at > least.at").select("id", F.col("at").alias("first"), F.col("at").alias("last"))
-    return equal.union(dealt).union(spread).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
+    return equal.select("id", *place).union(dealt).union(spread).groupBy("id").agg(F.collect_list(F.struct("first", "last")).alias("gone"))
 
 
 def cut(text: bytes, gone: list[tuple[int, int]], length: int = LENGTH, kmer: int = KMER) -> tuple[list[tuple[int, int]], bytes]:
