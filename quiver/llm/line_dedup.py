@@ -1,9 +1,9 @@
 """Line dedup within an edit distance of one, by a deletion-neighbourhood join of DataFrame functions.
 
 Lines are first reduced to distinct ones.  Two lines within one edit share the first or the last half
-(rounded down to a length class), so only lines that share such a half with another go on.  They emit
-their variants as hashed keys: for windows of WINDOW characters, the parts left and right of the window
-and the window with each character left out.  Two lines of equal length with the same variant at the
+(rounded down to a length class), so only lines that share such a half with another go on.  Of those,
+windows of WINDOW characters go on whose surroundings another line has too.  They emit their variants as
+hashed keys: the parts left and right of the window and the window with each character left out.  Two lines of equal length with the same variant at the
 same place differ in one character; a line equal to a variant of one that is longer by one lacks one
 character.  Windows keep the cost linear in the line's length.  Each line is compared with the earliest
 line of its keys, verified by edit distance.  No key's members are gathered or paired with each other.
@@ -48,29 +48,39 @@ def lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
     return rows.select("id", "no", "n", F.xxhash64("line").alias("h"), g.alias("g"), half_keys(F.col("line"), F.col("n")).alias("keys"))
 
 
-def variants(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
-    """candidates: (id, no, h, g, n, line).  Returns (key, kind, id, no, h, g); kind 0: same length, 1: the shorter line, 2: a longer one."""
-    size, line = F.lit(window), F.col("line")
+def windows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
+    """candidates: (id, no, h, g, n, line).  Returns (id, no, h, g, role, w, around) for windows whose surroundings another line has too.
+
+    role 0: the line as the shorter or equal one, of m = n characters; 1: as the longer one, m = n - 1, with one character more in the window.
+    """
+    line = F.col("line")
 
     def cut(role: int) -> DataFrame:
-        # role 0: the line as the shorter or equal one, of m = n characters; 1: as the longer one, m = n - 1.
         m = F.col("n") - role
         places = F.sequence(F.lit(0), F.greatest(F.ceil(m / window).cast("int") - 1, F.lit(0)))
         w = candidates.select("id", "no", "h", "g", "n", "line", m.alias("m"), F.explode(places).alias("j"))
-        at = F.col("j") * size
+        at = F.col("j") * window
         return w.select(
-            "id", "no", "h", "g", F.substring(line, at + 1, size + role).alias("w"),
-            F.xxhash64("m", "j", F.left(line, at), F.substring(line, at + size + 1 + role, F.col("n"))).alias("around"),
+            "id", "no", "h", "g", F.lit(role).alias("role"), F.substring(line, at + 1, F.lit(window + role)).alias("w"),
+            F.xxhash64("m", "j", F.left(line, at), F.substring(line, at + window + 1 + role, F.col("n"))).alias("around"),
         )
 
+    every = checkpoint(cut(0).union(cut(1)))
+    shared = every.groupBy("around").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("around")
+    return every.join(shared, "around", "left_semi")
+
+
+def variants(cut: DataFrame, window: int = WINDOW) -> DataFrame:
+    """cut: what windows() gives.  Returns (key, kind, id, no, h, g); kind 0: same length, 1: the shorter line, 2: a longer one."""
+
     def without(i: Column) -> Column:
         return F.concat(F.left(F.col("w"), i - 1), F.substring(F.col("w"), i + 1, F.lit(window + 1)))
 
     every = F.sequence(F.lit(1), F.char_length("w"))
-    short, long_ = cut(0), cut(1)
+    short, long_ = cut.where("role = 0"), cut.where("role = 1 and w <> ''")
     same = short.where("w <> ''").select("id", "no", "h", "g", F.lit(0).alias("kind"), F.explode(F.transform(every, lambda i: F.xxhash64(F.lit("s"), F.col("around"), i, without(i)))).alias("key"))
     own = short.select("id", "no", "h", "g", F.lit(1).alias("kind"), F.xxhash64(F.lit("i"), F.col("around"), F.col("w")).alias("key"))
-    less = long_.where("w <> ''").select("id", "no", "h", "g", F.lit(2).alias("kind"), F.explode(F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.lit("i"), F.col("around"), without(i))))).alias("key"))
+    less = long_.select("id", "no", "h", "g", F.lit(2).alias("kind"), F.explode(F.array_distinct(F.transform(every, lambda i: F.xxhash64(F.lit("i"), F.col("around"), without(i))))).alias("key"))
     return same.union(own).union(less)
 
 
@@ -88,7 +98,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     found = checkpoint(found.dropDuplicates(["h", "g"]))
 
     place = F.struct("id", "no", "h", "g")
-    v = variants(found)
+    v = variants(checkpoint(windows(found)))
     heads = v.groupBy("key", F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, 2).otherwise(1).alias("for")).agg(F.min(place).alias("head"))
     pair = v.join(heads, (v["key"] == heads["key"]) & (v["kind"] == heads["for"])).where((F.col("head.id") < F.col("id")) | ((F.col("head.id") == F.col("id")) & (F.col("head.no") < F.col("no"))))
     pair = pair.select("h", "g", F.col("head.h").alias("h0"), F.col("head.g").alias("g0")).distinct()
