@@ -86,7 +86,7 @@ def resample(pcm: np.ndarray, up: int = 2) -> np.ndarray:
     b = np.append(a[1:], a[-1])
     out = np.empty((len(a), up), np.int16)
     for i in range(up):
-        out[:, i] = (a * (up - i) + b * i) // up
+        out[:, i] = a if i == 0 else (a + b) >> 1 if up == 2 else (a * (up - i) + b * i) // up
     return out.reshape(-1)
 
 
@@ -134,12 +134,33 @@ def to_pcm_wav(stored: bytes, up: int = 2) -> bytes:
     return encode_wav(resample(decode(tag, data), up).astype("<i2").tobytes(), PCM, rate * up)
 
 
-def shape(pcm: np.ndarray) -> str:
-    """Root mean square, peak and sign changes of samples."""
-    if len(pcm) == 0:
-        return "0/0/0"
-    x = pcm.astype(np.int64)
-    return f"{int(np.sqrt((x * x).mean()))}/{int(np.abs(x).max())}/{int(np.count_nonzero(np.diff(np.signbit(x))))}"
+def shape(sum_squares: int, n: int, peak: int, changes: int) -> str:
+    """Root mean square, peak and sign changes of n samples."""
+    return f"{int((sum_squares / n) ** 0.5) if n else 0}/{peak}/{changes}"
+
+
+def law_shape(codes: np.ndarray, table: np.ndarray) -> str:
+    """The shape of G.711 samples, from the counts of their 256 codes; bit 7 is the sign."""
+    n = np.bincount(codes, minlength=256)
+    level = np.abs(table.astype(np.int64))
+    return shape(int((n * level * level).sum()), len(codes), int(level[n > 0].max(initial=0)), int(np.count_nonzero((codes[1:] ^ codes[:-1]) & 0x80)))
+
+
+def adpcm_shapes(data: list[bytes]) -> list[str]:
+    """The shape and CRC of each recording's ADPCM samples; the blocks of all of them are decoded together."""
+    blocks = [len(d) // BLOCK for d in data]
+    out = adpcm_decode(b"".join(d[: n * BLOCK] for d, n in zip(data, blocks, strict=True))).reshape(-1, 2 * (BLOCK - 4) + 1)
+    wide = out.astype(np.int32)
+    squares, peaks, negative = (wide * wide).sum(axis=1, dtype=np.int64), np.abs(wide).max(axis=1, initial=0), out < 0
+    inner = (negative[:, 1:] != negative[:, :-1]).sum(axis=1)
+    across = np.append(negative[1:, 0] != negative[:-1, -1], False) if len(out) else inner
+    found, at = [], 0
+    for n in blocks:
+        own = slice(at, at + n)
+        changes = int(inner[own].sum()) + int(across[at : at + n - 1].sum()) if n else 0
+        found.append(f"{shape(int(squares[own].sum()), n * out.shape[1], int(peaks[own].max(initial=0)), changes)},{zlib.crc32(out[own].tobytes())}")
+        at += n
+    return found
 
 
 def pad(payload: bytes, unit: int = 576) -> bytes:
@@ -147,12 +168,14 @@ def pad(payload: bytes, unit: int = 576) -> bytes:
     return payload + b"\xff" * ((-len(payload)) % unit or (0 if payload else unit))
 
 
-def features(stored: bytes) -> str:
-    """What the recording sounds like under each coding, and the CRC of its resampled PCM."""
-    tag, rate, data = read_wav(stored)
-    adpcm = adpcm_decode(data)
-    pcm = to_pcm_wav(stored)
-    return f"mulaw={shape(MULAW_TABLE[np.frombuffer(data, np.uint8)])};alaw={shape(ALAW_TABLE[np.frombuffer(data, np.uint8)])};adpcm={shape(adpcm)},{zlib.crc32(adpcm.tobytes())};pcm{2 * rate}={len(pcm)},{zlib.crc32(pcm)}"
+def features(stored: list[bytes]) -> list[tuple[str, bytes]]:
+    """For each recording, what it sounds like under each coding with the CRC of its resampled PCM, and that PCM."""
+    data = [read_wav(s)[2] for s in stored]
+    out = []
+    for s, d, adpcm in zip(stored, data, adpcm_shapes(data), strict=True):
+        codes, pcm = np.frombuffer(d, np.uint8), to_pcm_wav(s)
+        out.append((f"mulaw={law_shape(codes, MULAW_TABLE)};alaw={law_shape(codes, ALAW_TABLE)};adpcm={adpcm};pcm={len(pcm)},{zlib.crc32(pcm)}", pcm))
+    return out
 
 
 def telephony(docs: DataFrame, unit: int = 576, id_col: str = "doc_id", text_col: str = "text", with_media: bool = True) -> DataFrame:
@@ -166,18 +189,19 @@ def telephony(docs: DataFrame, unit: int = 576, id_col: str = "doc_id", text_col
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def row(text: str | None) -> tuple:
-        raw = (text or "").encode()
-        stored = encode_wav(pad(raw, unit), MULAW)
-        back = read_wav(stored)[2]
-        out = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), features(stored))
-        return (*out, stored, to_pcm_wav(stored)) if with_media else out
+    def rows(texts: list[str | None]) -> Iterator[tuple]:
+        raw = [(t or "").encode() for t in texts]
+        stored = [encode_wav(pad(r, unit), MULAW) for r in raw]
+        for r, s, (feature, pcm) in zip(raw, stored, features(stored), strict=True):
+            back = read_wav(s)[2]
+            out = (len(r), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(s), hashlib.sha256(s).hexdigest(), feature)
+            yield (*out, s, pcm) if with_media else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 64 if with_media else 1000):
-                b = whole.slice(at, 64 if with_media else 1000)
-                columns = list(zip(*map(row, b.column("text").to_pylist()), strict=True))
+            for at in range(0, whole.num_rows, 64):
+                b = whole.slice(at, 64)
+                columns = list(zip(*rows(b.column("text").to_pylist()), strict=True))
                 kinds = types + [pa.binary(), pa.binary()] * with_media
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names + ["media", "pcm"] * with_media)
 
