@@ -14,7 +14,7 @@ Repeated items or rows are rows of their own.  Other columns are kept where the
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -110,6 +110,32 @@ def consistent(pairs: list[tuple[str, str, int]]) -> bool:
     return True
 
 
+def alignments(places: dict[int, list[int]], texts: list, size: int, cover: float) -> Iterator[dict[int, int]]:
+    """The ways to give each place of the item one of its places in the document.
+
+    Windows of a row of placeholders hash alike, so a place can have many.  Each offset is tried, with
+    the nearest place for windows that don't have it; then the places with the most equal values, and
+    the windows whose values are all equal, if they are enough.
+    """
+    if all(len(ds) == 1 for ds in places.values()):
+        yield {p: ds[0] for p, ds in places.items()}
+        return
+    offsets = Counter(d - p for p, ds in places.items() for d in ds)
+    order = sorted(offsets, key=lambda o: (-offsets[o], o))
+    for o in order:
+        yield {p: min(ds, key=lambda d: (abs(d - p - o), d)) for p, ds in places.items()}
+    own, words, keep, kinds = texts
+
+    def differ(p: int, d: int) -> int:
+        return sum(own[p + i].lower() != words[keep[d + i]].lower() for i in range(size) if kinds[p + i] <= UNIT)
+
+    nearest = {p: min((differ(p, d), abs(d - p - order[0]), d) for d in ds) for p, ds in places.items()}
+    yield {p: d for p, (_, _, d) in nearest.items()}
+    equal = {p: d for p, (n, _, d) in nearest.items() if not n}
+    if len(equal) >= cover * max(1, len(kinds) - size + 1):
+        yield equal
+
+
 class Benchmark:
     """The windows of a block of items."""
 
@@ -155,21 +181,25 @@ class Benchmark:
 
     def matches(self, words: list[str], keep: np.ndarray, codes: np.ndarray, cover: float) -> list[tuple[int, int, float, bool]]:
         """(item id, windows hit, share of its windows, whether the slots agree) for items with enough of a share."""
-        found: dict[tuple[int, int], dict[int, int]] = defaultdict(dict)
+        found: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for k, place, d in self.hits(codes):
             # Words put in or left out move the alignment; a quarter of the item is a neighbourhood.
             span = max(4, len(self.items[k][2]) // 4)
             for near in {(d - place) // span, (d - place + span // 2) // span + (1 << 40)}:
-                found[k, near].setdefault(place, d)
+                found[k, near][place].append(d)
         best: dict[int, tuple[int, int, float, bool]] = {}
         for (k, _), places in found.items():
             item_id, own, kinds, size = self.items[k]
             share = len(places) / max(1, len(kinds) - size + 1)
             if share < cover:
                 continue
-            slots = {(p + i, d + i) for p, d in places.items() for i in range(size) if kinds[p + i] <= UNIT}
-            ok = consistent([(own[p].lower(), words[keep[d]].lower(), int(kinds[p])) for p, d in sorted(slots)])
-            best[k] = max(best.get(k, (item_id, 0, 0.0, False)), (item_id, len(places), share, ok), key=lambda m: (m[3], m[2]))
+            for chosen in alignments(places, [own, words, keep, kinds], size, cover):
+                slots = {(p + i, d + i) for p, d in chosen.items() for i in range(size) if kinds[p + i] <= UNIT}
+                ok = consistent([(own[p].lower(), words[keep[d]].lower(), int(kinds[p])) for p, d in sorted(slots)])
+                share = len(chosen) / max(1, len(kinds) - size + 1)
+                best[k] = max(best.get(k, (item_id, 0, 0.0, False)), (item_id, len(chosen), share, ok), key=lambda m: (m[3], m[2]))
+                if ok:
+                    break
         return list(best.values())
 
 
