@@ -39,7 +39,7 @@ class Engine:
         planner = Planner(self.graph, params or {}, self.walk_cap)
         df, columns = planner.query(q)
         self.graph = planner.graph
-        return Result(df, columns, planner.graph, planner.stats, explain.warnings(q, planner.graph))
+        return Result(df, columns, planner.graph, planner.stats, explain.warnings(q, planner.graph) + planner.warnings)
 
     def batch(self, text: str, params: dict[str, Any] | None = None) -> list[Result]:
         """Statements separated by semicolons."""

@@ -163,6 +163,11 @@ def value_type(v: Val) -> Val:
     name = TYPE_NAMES[kind(v.type)]
     if isinstance(v.type, T.ArrayType) and isinstance(v.type.elementType, T.FloatType):
         name = "VECTOR"
+    if kind(v.type) == "any":
+        of = F.regexp_extract(F.schema_of_variant(v.col), r"^\w+", 0)
+        found = F.when(v.col.isNull() | (of == "VOID"), "NULL").when(of.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "INTEGER").when(of.isin("DOUBLE", "FLOAT", "DECIMAL"), "FLOAT")
+        found = found.when(of == "OBJECT", "MAP").when(of == "ARRAY", "LIST").when(of == "TIMESTAMP_NTZ", "LOCAL DATETIME").when(of == "BINARY", "BYTES")
+        return Val(found.otherwise(of), STRING)
     return Val(F.when(v.col.isNull(), F.lit("NULL")).otherwise(F.lit(name)), STRING) if kind(v.type) != "null" else literal("NULL")
 
 

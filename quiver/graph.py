@@ -6,6 +6,7 @@ _src and _dst.  Other columns are properties.  A graph is a value: changes give
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
 
@@ -29,6 +30,8 @@ class NodeTable:
     df: DataFrame
     labels: frozenset[str]  # of every row
     more: frozenset[str] = frozenset()  # of some rows
+    numbered: bool = False  # ids are keys below the table's number
+    made: int = 0  # by how many CREATE and MERGE statements
 
 
 @dataclass(frozen=True)
@@ -37,6 +40,7 @@ class EdgeTable:
     type: str
     src: frozenset[str] | None = None  # labels that every source has; None: not known
     dst: frozenset[str] | None = None
+    made: int = 0
 
 
 def widen(df: DataFrame) -> DataFrame:
@@ -54,6 +58,11 @@ def widen(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def numbered(key: Column, base: int) -> Column:
+    """An id: the key below the table's number; validate() finds keys that would run into the next table's ids."""
+    return key.cast("bigint") + F.lit(base)
+
+
 def union(frames: list[DataFrame], spark: SparkSession, fixed: tuple[str, ...]) -> DataFrame:
     """All rows; a column of several types gets the type that holds them, a missing one is null."""
     if not frames:
@@ -86,13 +95,13 @@ class PropertyGraph:
     # -- building
 
     def with_nodes(self, label: str | tuple[str, ...], df: DataFrame, key: str | Column) -> "PropertyGraph":
-        """Add a node table whose integer key becomes _id: the table's number in the upper bits."""
+        """Add a node table whose integer key, from 0 below 2^48, becomes _id: the table's number in the upper bits."""
         labels = (label,) if isinstance(label, str) else label
         base = len(self.nodes) + 1 << 48
         key = col(key) if isinstance(key, str) else key
         own = widen(df)
-        rows = own.select((key.cast("bigint") + F.lit(base)).alias("_id"), F.array(*map(F.lit, labels)).alias("_labels"), *[col(c) for c in own.columns])
-        return replace(self, nodes=(*self.nodes, NodeTable(rows, frozenset(labels))))
+        rows = own.select(numbered(key, base).alias("_id"), F.array(*map(F.lit, labels)).alias("_labels"), *[col(c) for c in own.columns])
+        return replace(self, nodes=(*self.nodes, NodeTable(rows, frozenset(labels), numbered=True)))
 
     def offset(self, label: str) -> int:
         return next(i for i, t in enumerate(self.nodes) if label in t.labels) + 1 << 48
@@ -100,11 +109,13 @@ class PropertyGraph:
     def with_edges(self, kind: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], key: str | Column | None = None) -> "PropertyGraph":
         """Add an edge table: src and dst are (label, key column); key is an integer that is unique in the table."""
         base = len(self.edges) + 1 << 56
+        if base >> 63:
+            raise ValueError("at most 126 edge tables with keys of their own")
         own = widen(df)
         key = F.xxhash64(*[col(c) for c in own.columns]).bitwiseAND(F.lit((1 << 56) - 1)) if key is None else (col(key) if isinstance(key, str) else key)
         rows = own.select(
-            (key.cast("bigint") + F.lit(base)).alias("_id"), F.lit(kind).alias("_type"),
-            (col(src[1]).cast("bigint") + F.lit(self.offset(src[0]))).alias("_src"), (col(dst[1]).cast("bigint") + F.lit(self.offset(dst[0]))).alias("_dst"),
+            numbered(key, base).alias("_id"), F.lit(kind).alias("_type"),
+            numbered(col(src[1]), self.offset(src[0])).alias("_src"), numbered(col(dst[1]), self.offset(dst[0])).alias("_dst"),
             *[col(c) for c in own.columns],
         )
         return replace(self, edges=(*self.edges, EdgeTable(rows, kind, frozenset([src[0]]), frozenset([dst[0]]))))
@@ -153,11 +164,75 @@ class PropertyGraph:
 
     # -- statistics
 
+    def validate(self) -> None:
+        """Raise an error if an id is null, met twice or outside its table's numbers, or if an edge ends nowhere."""
+        ids = self.scan_nodes().select("_id")
+        edges = self.scan_edges().select("_id", "_src", "_dst")
+        for what, df in (("node", ids), ("edge", edges)):
+            bad = df.groupBy("_id").agg(F.count(F.lit(1)).alias("n")).where("_id is null or n > 1")
+            if not bad.isEmpty():
+                raise ValueError(f"{what} ids that are null or not unique, like {bad.first()['_id']}")
+        for i, t in enumerate(self.nodes):
+            if t.numbered and not t.df.where((col("_id") < (i + 1 << 48)) | (col("_id") >= (i + 2 << 48))).isEmpty():
+                raise ValueError(f"keys of {sorted(t.labels)} beyond the ids of their table")
+        for end in ("_src", "_dst"):
+            if not edges.join(ids.withColumnRenamed("_id", end), end, "left_anti").isEmpty():
+                raise ValueError(f"edges whose {end} is no node")
+
     def stats(self) -> dict[str, DataFrame]:
         """Counts by label and type, and distinct sources and average out-degree by type."""
         labels = self.scan_nodes().select(F.explode("_labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("vertices"))
         types = self.scan_edges().groupBy("_type").agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("_src").alias("sources"))
-        return {"labels": labels, "types": types.withColumn("avg_out_degree", F.col("edges") / F.col("sources"))}
+        return {"labels": labels, "types": types.withColumn("avg_out_degree", F.col("edges") / F.col("sources")), "properties": self.property_stats()}
+
+    def property_stats(self) -> DataFrame:
+        """(class, name, property, present, distinct_values, least, greatest) of each label's and type's properties, as text; distinct values are estimated."""
+        parts = [("vertex", "|".join(sorted(t.labels)), t.df, NODE_FIELDS) for t in self.nodes] + [("edge", t.type, t.df, EDGE_FIELDS) for t in self.edges]
+        found = None
+        for cls, name, df, fixed in parts:
+            own = [f for f in df.schema.fields if f.name not in fixed]
+            if not own:
+                continue
+            aggregates = []
+            for f in own:
+                plain = isinstance(f.dataType, (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType))
+                c = col(f.name)
+                nothing = F.max(F.lit(None).cast("string"))
+                aggregates.append(F.struct(
+                    F.lit(f.name).alias("property"), F.count(c).alias("present"), (F.approx_count_distinct(c) if plain else F.max(F.lit(None).cast("bigint"))).alias("distinct_values"),
+                    (F.min(c).cast("string") if plain else nothing).alias("least"), (F.max(c).cast("string") if plain else nothing).alias("greatest"),
+                ))
+            rows = df.agg(F.array(*aggregates).alias("all")).select(F.lit(cls).alias("class"), F.lit(name).alias("name"), F.explode("all").alias("p")).select("class", "name", "p.*")
+            found = rows if found is None else found.union(rows)
+        return found if found is not None else self.spark.createDataFrame([], "class string, name string, property string, present bigint, distinct_values bigint, least string, greatest string")
+
+    # -- on disk
+
+    def save(self, path: str) -> None:
+        """Write the graph below path: Parquet for each table, and what isn't in the tables as JSON lines."""
+        rows = []
+        for kind, tables in (("nodes", self.nodes), ("edges", self.edges)):
+            for i, t in enumerate(tables):
+                t.df.write.parquet(f"{path}/{kind}-{i}")
+                own = {"labels": sorted(t.labels), "more": sorted(t.more), "numbered": t.numbered} if isinstance(t, NodeTable) else {"type": t.type, "src": t.src and sorted(t.src), "dst": t.dst and sorted(t.dst)}
+                rows.append((len(rows), json.dumps({"table": f"{kind}-{i}", **own})))
+        rows.append((len(rows), json.dumps({"serial": self.serial, "indexes": self.indexes, "tenant": self.tenant})))
+        self.spark.createDataFrame(rows, "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.text(f"{path}/graph")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "PropertyGraph":
+        """The graph that save() wrote; procedures aren't kept."""
+        nodes, edges, rest = [], [], {}
+        for entry in (json.loads(r["value"]) for r in spark.read.text(f"{path}/graph").collect()):
+            if "table" not in entry:
+                rest = entry
+                continue
+            df = spark.read.parquet(f"{path}/{entry['table']}")
+            if "labels" in entry:
+                nodes.append(NodeTable(df, frozenset(entry["labels"]), frozenset(entry["more"]), entry["numbered"]))
+            else:
+                edges.append(EdgeTable(df, entry["type"], *[None if entry[k] is None else frozenset(entry[k]) for k in ("src", "dst")]))
+        return PropertyGraph(spark, tuple(nodes), tuple(edges), rest["serial"], tuple(map(tuple, rest["indexes"])), rest["tenant"])
 
 
 def label_verdict(labels: Labels | None, sure: frozenset[str], maybe: frozenset[str]) -> bool | None:

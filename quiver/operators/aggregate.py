@@ -11,17 +11,20 @@ from pyspark.sql import types as T
 from quiver.graph import col
 from quiver.plans.ast import Call, CypherError, Var
 from quiver.plans.scope import Scope
-from quiver.plans.values import DOUBLE, LONG, NULL, Val, kind, null_of, numeric, order_key
+from quiver.plans.values import DOUBLE, LONG, NULL, Val, identity, kind, mixed, null_of, numeric, order_key
 
 
-def aggregate(e: Call, scope: Scope, compile_: Callable, put: Callable[[Column], str]) -> Val:
-    """The aggregate as a column over groups of the scope's rows; put names a column of those rows."""
+def aggregate(e: Call, scope: Scope, compile_: Callable, put: Callable[[Column], str], rank: Callable[[], Column] | None = None) -> Val:
+    """The aggregate as a column over groups of the scope's rows; put names a column of those rows.
+
+    rank gives the place of a row within its group, where the rows are ordered.
+    """
     name = e.name
     if e.star:
         if name != "count":
             raise CypherError("InvalidAggregation", f"no {name}(*)")
         if e.distinct:
-            return Val(F.count_distinct(F.struct(*[col(b.key) for b in scope.vars.values()])), LONG)
+            return Val(F.count_distinct(F.struct(*[identity(Val(col(b.key), b.fields[""][1])) if b.kind == "value" else col(b.key) for b in scope.vars.values()])), LONG)
         return Val(F.count(F.lit(1)), LONG)
     low = 2 if name.startswith("percentile") else 1
     if len(e.args) != low:
@@ -30,16 +33,16 @@ def aggregate(e: Call, scope: Scope, compile_: Callable, put: Callable[[Column],
     if isinstance(arg, Var) and name == "count" and arg.name in scope.vars:
         b = scope.vars[arg.name]
         c = col(b.key)
-        if b.kind != "value" or not isinstance(b.fields[""][1], T.StructType):
+        if b.kind != "value" or not (isinstance(b.fields[""][1], T.StructType) or mixed(b.fields[""][1])):
             return Val(F.count_distinct(c) if e.distinct else F.count(c), LONG)
     v = compile_(arg)
     k = kind(v.type)
     if name == "count":
-        return Val(F.count_distinct(v.col) if e.distinct else F.count(v.col), LONG)
+        return Val(F.count_distinct(identity(v)) if e.distinct else F.count(v.col), LONG)
     if name in ("collect", "collect_list"):
         if k == "null":
             return Val(F.array().cast("array<string>"), T.ArrayType(NULL))
-        return Val(F.collect_set(v.col) if e.distinct else F.collect_list(v.col), T.ArrayType(v.type))
+        return Val(collected(v, e.distinct, rank() if rank else None), T.ArrayType(v.type))
     if k == "null":
         return Val(F.max(F.lit(None).cast("double")), DOUBLE) if name not in ("min", "max") else Val(F.max(F.lit(None).cast("string")), null_of(NULL).type)
     if name in ("min", "max"):
@@ -75,6 +78,21 @@ def aggregate(e: Call, scope: Scope, compile_: Callable, put: Callable[[Column],
     return Val(plain[name](x), DOUBLE)
 
 
+def collected(v: Val, distinct: bool, rank: Column | None) -> Column:
+    """The values that aren't null as a list, in the order of the rank if there is one."""
+    if rank is None and not (distinct and mixed(v.type)):
+        return F.collect_set(v.col) if distinct else F.collect_list(v.col)
+    rank = F.lit(0) if rank is None else rank
+    rows = F.collect_list(F.when(v.col.isNotNull(), F.struct(rank.alias("at"), v.col.alias("x"), *([identity(v).alias("key")] if mixed(v.type) else []))))
+    # Structs with variants have no order of their own.
+    rows = F.array_sort(rows, lambda a, b: (a["at"] - b["at"]).cast("int")) if mixed(v.type) else F.sort_array(rows)
+    if distinct and mixed(v.type):
+        keys = F.transform(rows, lambda r: r["key"])
+        rows = F.filter(rows, lambda r, i: F.array_position(keys, r["key"]) == i + 1)
+    found = F.transform(rows, lambda r: r["x"])
+    return F.array_distinct(found) if distinct and not mixed(v.type) else found
+
+
 def percentile(name: str, x: Column, p: Val, distinct: bool, put: Callable[[Column], str]) -> Val:
     if kind(p.type) == "null":
         return Val(F.max(F.lit(None).cast("double")), DOUBLE)

@@ -27,7 +27,8 @@ UNROLL = 8
 class Matcher:
     """Matches the paths of one clause."""
 
-    def __init__(self, graph: PropertyGraph, params: dict, cap: int, checkpoint, used: set[str], compiler) -> None:
+    def __init__(self, graph: PropertyGraph, params: dict, cap: int, checkpoint, used: set[str], compiler, warnings: list[str]) -> None:
+        self.warnings = warnings
         self.graph, self.params, self.cap, self.checkpoint, self.used = graph, params, cap, checkpoint, used
         self.compile = compiler  # f(scope) -> Compiler
         self.single: list[tuple[str, frozenset[str]]] = []  # edge id columns and their types
@@ -113,16 +114,15 @@ class Matcher:
         if n.var and n.var in scope.vars:
             return self.rebound(scope, n, keep)
         among, sure = None, False
-        if rels and at == 0 and not rels[0].varlen and rels[0].direction:
+        if rels and at == 0 and rels[0].direction and (not rels[0].varlen or (rels[0].low or 0) > 0):
             # The first edge table may promise the labels, so that it is the scan itself.
             among = self.graph.ends(rels[0].types, rels[0].direction > 0)
-            sure = among is not None and label_verdict(n.labels, among, frozenset()) is True
+            sure = not rels[0].varlen and among is not None and label_verdict(n.labels, among, frozenset()) is True
         if sure and not self.needed(n, keep) and self.graph.edge_tables(rels[0].types):
             marker = fresh(f"{n.var or 'n'}@_id")
             self.deferred = marker
             vars_ = {**scope.vars, n.var: Binding("node", {"_id": (marker, LONG)}, among)} if n.var else scope.vars
             return replace(scope, vars=vars_), marker, marker
-        among = None if rels and rels[0].varlen else among
         df, b = bind_frame(self.graph.scan_nodes(n.labels, among), n.var or "n", "node", self.graph.known_labels(n.labels, among))
         base = scope.df if not scope.unit else None
         joined = df if base is None else base.crossJoin(df)
@@ -243,7 +243,11 @@ class Matcher:
     # -- variable length
 
     def walk(self, scope: Scope, at: str, r: RelPattern, n: NodePattern, backwards: bool, keep: bool) -> tuple[Scope, str, str, tuple[str, str | None]]:
-        """Walks of low to high edges, no edge twice."""
+        """Walks of low to high edges, no edge twice.
+
+        Up to UNROLL edges the plan has one join a hop: from the hop on whose walks count, they stay beside
+        their continuations.  Longer ones are checkpointed hop by hop, and end when a hop finds nothing.
+        """
         low, high = r.low or 0, r.high if r.high is not None and r.high >= 0 else None
         last = self.cap if high is None else high
         edges = self.edges(r, backwards)
@@ -252,18 +256,30 @@ class Matcher:
             own = Val(col(key), edges.schema[key].dataType) if key in edges.columns else None
             edges = edges.where(equal(own, value) if own is not None else F.lit(False))
         list_wanted = keep or (r.var is not None and r.var in self.used) or (r.var is not None and r.var in scope.vars)
-        rel_t = T.StructType([edges.schema[f] for f in fields])
-        node_frame = self.graph.scan_nodes() if keep else None
+        if not list_wanted:
+            edges = edges.select("_id", "_from", "_to")
+        rel_t = T.StructType([edges.schema[f] for f in fields if f in edges.columns])
+        direction = -r.direction if backwards else r.direction
+        reached = self.graph.ends(r.types, direction < 0)
+        if not direction and reached != self.graph.ends(r.types, True):
+            reached = None
+        node_frame = self.graph.scan_nodes(None, reached) if keep else None
         node_t = T.StructType(node_frame.schema.fields) if node_frame is not None else None
         here, ids, rels, mids = fresh("at"), fresh("ids"), fresh("rels"), fresh("mids")
         level = scope.df.withColumns({here: col(at), ids: F.array().cast("array<bigint>"), rels: F.array().cast(T.ArrayType(rel_t)) if list_wanted else F.lit(None).cast("string"), mids: F.array().cast(T.ArrayType(node_t)) if keep else F.lit(None).cast("string")})
-        out = [level] if low == 0 else []
-        unrolled = high is not None and high <= UNROLL
         kept = level.columns
-        for depth in range(1, last + 1):
+
+        def step(walks: DataFrame, stay: Column | None) -> DataFrame:
+            """The walks with one more edge, and beside them those that stay."""
             named = {c: fresh(c) for c in edges.columns}
             e = edges.select(*[col(c).alias(x) for c, x in named.items()])
-            nxt = level.join(e, (col(here) == col(named["_from"])) & ~F.array_contains(col(ids), col(named["_id"])))
+            on = (col(here) == col(named["_from"])) & ~F.array_contains(col(ids), col(named["_id"]))
+            goes = fresh("goes")
+            if stay is None:
+                out = walks.join(e, on)
+            else:
+                out = walks.withColumn(goes, F.explode(stay)).join(e, on & col(goes), "left")
+                out = out.where(~col(goes) | col(named["_id"]).isNotNull())
             change = {ids: F.concat(col(ids), F.array(col(named["_id"])))}
             if list_wanted:
                 one = F.struct(*[col(named[f]).alias(f) for f in fields])
@@ -271,21 +287,35 @@ class Matcher:
             if keep:
                 # Nodes between and at the walk's far end, in order of the path.
                 nf, nb = bind_frame(node_frame, "mid", "node")  # type: ignore[arg-type]
-                nxt = nxt.join(nf, col(named["_to"]) == col(nb.key))
+                out = out.join(nf, col(named["_to"]) == col(nb.key), "inner" if stay is None else "left")
+                if stay is not None:
+                    out = out.where(~col(goes) | col(nb.key).isNotNull())
                 one = nb.val().col
                 change[mids] = F.concat(F.array(one), col(mids)) if backwards else F.concat(col(mids), F.array(one))
             change[here] = col(named["_to"])
-            nxt = nxt.withColumns(change).select(*[col(c) for c in kept])
-            if not unrolled:
-                nxt = self.checkpoint(nxt)
-                if nxt.isEmpty():
+            if stay is not None:
+                change = {c: F.when(col(goes), x).otherwise(col(c)) for c, x in change.items()}
+            return out.withColumns(change).select(*[col(c) for c in kept])
+
+        if high is not None and high <= UNROLL:
+            for depth in range(1, last + 1):
+                goes_on = F.when(F.size(col(ids)) == depth - 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+                level = step(level, goes_on if depth > low else None)
+            df = level if last >= low else level.where(F.lit(False))
+        else:
+            out = [level] if low == 0 else []
+            for depth in range(1, last + 1):
+                level = self.checkpoint(step(level, None))
+                if level.isEmpty():
                     break
-            level = nxt
-            if depth >= low:
-                out.append(level)
-        df = out[0] if out else level.where(F.lit(False))
-        for more in out[1:]:
-            df = df.union(more)
+                if depth >= low:
+                    out.append(level)
+            else:
+                if high is None and not step(level, None).isEmpty():
+                    self.warnings.append(f"WALK_CAP_REACHED: walks of over {self.cap} edges are left out")
+            df = out[0] if out else level.where(F.lit(False))
+            for more in out[1:]:
+                df = df.union(more)
         self_ids = ids
         for c, _ in self.single:
             df = df.where(~F.array_contains(col(self_ids), col(c)))
@@ -295,14 +325,24 @@ class Matcher:
         vars_ = dict(scope.vars)
         if r.var and r.var in scope.vars:
             old = scope.vars[r.var].val()
-            df = df.where(F.transform(old.col, lambda x: x["_id"]) == F.transform(col(rels), lambda x: x["_id"]))
+            bare = isinstance(old.type.elementType, T.LongType)  # type: ignore[attr-defined]
+            df = df.where((old.col if bare else F.transform(old.col, lambda x: x["_id"])) == F.transform(col(rels), lambda x: x["_id"]))
+        elif r.var and list_wanted:
+            vars_[r.var] = Binding("value", {"": (rels, T.ArrayType(rel_t))})
         elif r.var:
-            vars_[r.var] = Binding("value", {"": (rels, T.ArrayType(rel_t))}) if list_wanted else Binding("value", {"": (ids, T.ArrayType(LONG))})
+            # Only ids, in the pattern's order.
+            name = fresh(r.var)
+            df = df.withColumn(name, F.reverse(col(ids)) if backwards else col(ids))
+            vars_[r.var] = Binding("value", {"": (name, T.ArrayType(LONG))})
         scope = Scope(df, vars_)
         bound = n.var is not None and n.var in scope.vars
         if bound:
             scope = scope.where(col(scope.vars[n.var].key) == col(here))  # type: ignore[index]
-        scope, place, shape = self.arrive(scope, here, n, None, keep, bound)
+        if low == 0 and reached is not None:
+            # Such a walk may end where it starts.
+            start = next((b.labels for b in scope.vars.values() if b.kind == "node" and b.key == at), None)
+            reached = (reached & (start or frozenset())) or None
+        scope, place, shape = self.arrive(scope, here, n, reached, keep, bound)
         if keep and backwards:
             # mids runs from the far end to the node before the start; the path lists what follows its own start.
             scope = replace(scope, df=scope.df.withColumn(mids, F.slice(F.concat(col(mids), F.array(self._node_of(scope, at, node_t))), 2, F.size(col(mids)))))

@@ -6,19 +6,24 @@ New entities get negative ids: the statement's number, the partition and the row
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.graph import EdgeTable, NodeTable, PropertyGraph, col
-from quiver.plans.ast import Clause, Create, CypherError, Delete, MapLit, Match, Merge, Node, NodePattern, Path, Prop, RelPattern, Remove, SetItem, Var
+from quiver.plans.ast import Clause, Create, CypherError, Delete, MapLit, Match, Merge, Node, NodePattern, Path, Prop, RelPattern, Remove, SetItem, Var, children
 from quiver.plans.scope import Binding, Scope, as_entity, fresh
 from quiver.plans.values import LONG, STRING, Val, cast, kind, unify
 
 LABEL_KINDS = ("labels", "unlabel")
+#: Statements whose new rows a made table takes before its parts are written together.
+COMPACT = 16
+#: Rows of one entity that SET takes one after another, at most; more are an error.
+MOST_TURNS = 64
 STORABLE = ("boolean", "integer", "float", "string", "bytes", "date", "localtime", "time", "localdatetime", "datetime", "duration", "point", "any")
 
 
@@ -167,12 +172,23 @@ def put_properties(planner, scope: Scope, props: Node | None, var: str, fields:
 
 
 def add_nodes(graph: PropertyGraph, rows: DataFrame, labels: frozenset[str]) -> PropertyGraph:
-    """A table of its own for the new nodes: existing tables keep their files."""
-    return replace(graph, nodes=(*graph.nodes, NodeTable(rows, labels)))
+    """The new nodes beside those that earlier statements made with the same labels; tables from outside keep their files."""
+    return replace(graph, nodes=grown(graph.nodes, NodeTable(rows, labels, made=1), lambda t: t.labels == labels and not t.more))
 
 
 def add_edges(graph: PropertyGraph, rows: DataFrame, kind_: str) -> PropertyGraph:
-    return replace(graph, edges=(*graph.edges, EdgeTable(rows, kind_)))
+    return replace(graph, edges=grown(graph.edges, EdgeTable(rows, kind_, made=1), lambda t: t.type == kind_))
+
+
+def grown(tables: tuple, new: Any, alike: Callable[[Any], bool]) -> tuple:
+    """The tables with one more, or with its rows in a made table of the same schema, which is checkpointed now and then."""
+    from quiver.plans.planner import checkpoint
+
+    for i, t in enumerate(tables):
+        if t.made and alike(t) and t.df.schema == new.df.schema:
+            both = t.df.union(new.df)
+            return (*tables[:i], replace(t, df=checkpoint(both) if (t.made + 1) % COMPACT == 0 else both, made=t.made + 1), *tables[i + 1 :])
+    return (*tables, new)
 
 
 # -- MERGE
@@ -255,6 +271,73 @@ def stack(a: Scope, b: Scope, keys: list[str], names: list[str]) -> tuple[DataFr
 
 
 def change(planner, scope: Scope, items: tuple[SetItem, ...], only: list[str] | None) -> Scope:
+    """SET and REMOVE row by row: where an entity has several rows, each sees what the rows before it did.
+
+    Where no value reads what is set, the last row of each entity is enough.  Rows come in their order, or
+    without one in that of the checkpoint that holds them.
+    """
+    of = lambda i: i.target.base if isinstance(i.target, Prop) else i.target
+    targets = sorted({of(i).name for i in items if isinstance(of(i), Var)})
+    for v in targets:
+        scope = as_entity(scope, v)
+    keys = {v: scope.vars[v].key for v in targets if scope.vars[v].kind != "value"}
+    most = max((scope.df.where(col(k).isNotNull()).groupBy(col(k)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for k in keys.values()), default=0)
+    if most <= 1 or all(i.kind in LABEL_KINDS for i in items):
+        return change_once(planner, scope, items)
+    from quiver.plans.planner import checkpoint
+
+    place, turn = fresh("place"), fresh("turn")
+    rows = checkpoint(scope.df.withColumn(place, F.monotonically_increasing_id()))
+    by = scope.sort_columns() or [col(place)]
+    if not reads_own(items):
+        for v, k in keys.items():
+            last = rows.withColumn(turn, F.row_number().over(Window.partitionBy(col(k)).orderBy(*reversed_order(scope, place)))).where((col(turn) == 1) & col(k).isNotNull())
+            change_once(planner, Scope(last.drop(turn), scope.vars), tuple(i for i in items if of(i).name == v))
+        return read_again(planner, Scope(rows.drop(place), scope.vars), targets)
+    if len(keys) > 1 or most > MOST_TURNS:
+        raise CypherError("InvalidClauseComposition", f"SET on one entity in {most} rows, whose values depend on each other; aggregate them first")
+    (key,) = keys.values()
+    rows = checkpoint(rows.withColumn(turn, F.row_number().over(Window.partitionBy(col(key)).orderBy(*by))))
+    for n in range(1, most + 1):
+        change_once(planner, read_again(planner, Scope(rows.where((col(turn) == n) & col(key).isNotNull()).drop(turn, place), scope.vars), targets), items)
+        if n % 8 == 0:
+            labels = scope.vars[targets[0]].labels
+            if scope.vars[targets[0]].kind == "node":
+                planner.graph = replace(planner.graph, nodes=tuple(replace(t, df=checkpoint(t.df)) if not labels or labels <= (t.labels | t.more) else t for t in planner.graph.nodes))
+    return read_again(planner, Scope(rows.drop(turn, place), scope.vars), targets)
+
+
+def reversed_order(scope: Scope, place: str) -> list[Column]:
+    """The last row first."""
+    return [col(c).asc_nulls_last() if down else col(c).desc_nulls_first() for c, down in scope.order] + [col(place).desc()]
+
+
+def reads_own(items: tuple[SetItem, ...]) -> bool:
+    """Whether a value reads a property that one of the items sets, or an entity as a whole."""
+    written = {i.target.key for i in items if isinstance(i.target, Prop)}
+    whole = any(i.kind in ("replace", "merge") for i in items)
+    names = {(i.target.base if isinstance(i.target, Prop) else i.target).name for i in items}
+
+    def reads(e: Any) -> bool:
+        if isinstance(e, Prop) and isinstance(e.base, Var):
+            return e.key in written or (whole and e.base.name in names)
+        if isinstance(e, Var):
+            return e.name in names
+        return any(reads(c) for c in children(e))
+
+    return any(isinstance(i.value, Node) and reads(i.value) for i in items)
+
+
+def read_again(planner, scope: Scope, names: list[str]) -> Scope:
+    """The variables' fields as the graph has them now."""
+    for v in names:
+        b = scope.vars[v]
+        if b.kind != "value":
+            scope = reread(planner, scope, v, b)
+    return scope
+
+
+def change_once(planner, scope: Scope, items: tuple[SetItem, ...]) -> Scope:
     for item in items:
         target = item.target.base if isinstance(item.target, Prop) else item.target
         if not isinstance(target, Var):
@@ -330,17 +413,20 @@ def rewrite_entity(planner, scope: Scope, var: str, b: Binding, new: dict[str, V
             if item.kind in LABEL_KINDS:
                 own = frozenset(item.value)
                 sure, more = (sure - own, more | (sure & own)) if removing else (sure, more | own)
-            out.append(NodeTable(df, sure, more - sure))
+            out.append(replace(t, df=df, labels=sure, more=more - sure))
         else:
             out.append(replace(t, df=df))
     planner.graph = replace(graph, **{"nodes" if b.kind == "node" else "edges": tuple(out)})
-    # The variable's fields, read again.
+    return reread(planner, scope, var, replace(b, labels=None) if item.kind in LABEL_KINDS else b)
+
+
+def reread(planner, scope: Scope, var: str, b: Binding) -> Scope:
     frame = planner.graph.scan_nodes(None, b.labels) if b.kind == "node" else planner.graph.scan_edges()
     fields = {f.name: (fresh(f"{var}@{f.name}"), f.dataType) for f in frame.schema.fields}
     frame = frame.select(*[col(f).alias(c) for f, (c, _) in fields.items()])
     joined = scope.df.join(frame, col(b.key) == col(fields["_id"][0]), "left")
     joined = joined.drop(*b.columns)
-    return Scope(joined, {**scope.vars, var: Binding(b.kind, fields, None if item.kind in LABEL_KINDS else b.labels)})
+    return Scope(joined, {**scope.vars, var: Binding(b.kind, fields, b.labels)})
 
 
 # -- DELETE

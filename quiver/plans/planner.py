@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ from quiver.plans.ast import (
 )
 from quiver.plans.expressions import AGGREGATES, SUBQUERIES, Compiler, conjuncts, free, has_aggregate
 from quiver.plans.scope import Binding, Scope, as_entity, fresh
-from quiver.plans.values import BOOL, Val, cast, kind, null_of, order_key
+from quiver.plans.values import BOOL, Val, cast, identity, kind, mixed, null_of, order_key
 
 #: Edges of a walk without upper bound, at most.
 WALK_CAP = 64
@@ -62,7 +62,7 @@ class Planner:
                 raise CypherError("DifferentColumnsInUnion", f"{names} and {own}")
             df = union(df, more)
         if q.all and not q.all[0]:
-            df = df.distinct()
+            df = distinct(df, [(f.name, f.dataType) for f in df.schema.fields])
         return df, names
 
     def single(self, clauses: tuple[Clause, ...], scope: Scope) -> tuple[DataFrame, list[str]]:
@@ -82,15 +82,17 @@ class Planner:
         return scope.df.limit(0).select(), []
 
     def clause(self, scope: Scope, c: Clause) -> Scope:
-        if isinstance(c, Match):
-            return self.match(scope, c)
-        if isinstance(c, Unwind):
-            return self.unwind(scope, c)
         if isinstance(c, Projection):
             return self.project(scope, c)
-        if isinstance(c, CallProc):
-            return procedures.call(self, scope, c, standalone=False)
-        return write.apply(self, scope, c)
+        if isinstance(c, Match):
+            out = self.match(scope, c)
+        elif isinstance(c, Unwind):
+            out = self.unwind(scope, c)
+        elif isinstance(c, CallProc):
+            out = procedures.call(self, scope, c, standalone=False)
+        else:
+            out = write.apply(self, scope, c)
+        return out.ordered_as(scope)
 
     def result(self, scope: Scope) -> tuple[DataFrame, list[str]]:
         out = []
@@ -105,7 +107,7 @@ class Planner:
     # -- MATCH
 
     def matcher(self) -> Matcher:
-        return Matcher(self.graph, self.params, self.walk_cap, checkpoint, self.used, self.compiler)
+        return Matcher(self.graph, self.params, self.walk_cap, checkpoint, self.used, self.compiler, self.warnings)
 
     def match(self, scope: Scope, c: Match) -> Scope:
         if c.optional:
@@ -153,7 +155,7 @@ class Planner:
             columns += [col(c).alias(fields[f][0]) for f, (c, _) in b.fields.items()]
             vars_[k] = replace(b, fields=fields)
             renamed[b.key] = vars_[k].key
-        df = scope.df.select(*columns).dropDuplicates(list(renamed.values()))
+        df = distinct(scope.df.select(*columns), [key_field(vars_[k]) for k in keys])
         return Scope(df, vars_), renamed
 
     def on_keys(self, renamed: dict[str, str]) -> Column:
@@ -320,13 +322,17 @@ class Planner:
         if kind(v.type) != "list":
             v = Val(F.when(v.col.isNotNull(), F.array(v.col)), T.ArrayType(v.type))
         element = v.type.elementType  # type: ignore[attr-defined]
-        df = scope.df.withColumn(name, F.explode(v.col))
-        return Scope(df, {**scope.vars, c.var: Binding("value", {"": (name, element)})})
+        vars_ = {**scope.vars, c.var: Binding("value", {"": (name, element)})}
+        if not scope.order and not scope.unit:
+            return Scope(scope.df.withColumn(name, F.explode(v.col)), vars_)
+        place = fresh("place")
+        df = scope.df.select("*", F.posexplode(v.col).alias(place, name))
+        return Scope(df, vars_, order=(*scope.order, (place, False)), sorted=scope.sorted)
 
     # -- WITH and RETURN
 
     def project(self, scope: Scope, c: Projection) -> Scope:
-        items = list(c.items)
+        items, came = list(c.items), scope
         if c.star:
             if c.final and not scope.vars:
                 raise CypherError("NoVariablesInScope", "RETURN * without variables")
@@ -344,21 +350,32 @@ class Planner:
             out = self.grouped(scope, items, [o.expr for o in order]) if grouped else self.plain_items(scope, items)
             df, vars_, known = out
             if c.distinct:
-                df = df.dropDuplicates([b.key for b in vars_.values()])
+                df = distinct(df, [key_field(b) for b in vars_.values()])
             new = Scope(df, vars_)
             after = Scope(df, vars_)
         else:
             df, vars_, known = self.plain_items(scope, items)
             new = Scope(df, vars_)
             after = Scope(df, {**scope.vars, **vars_})
-        keys = []
+        keys: list[Column] = []
+        placed: dict[str, Column] = {}
+        by: list[tuple[str, bool]] = []
         if order:
             after, more = self.subqueries(after, [o.expr for o in order])
             compiler = self.compiler(after, {**known, **more})
             for o in order:
                 k = order_key(compiler(o.expr))
                 keys.append(k.desc_nulls_first() if o.descending else k.asc_nulls_last())
+                by.append((fresh("order"), o.descending))
+                placed[by[-1][0]] = k
+        elif not grouped and not c.distinct:
+            by = list(came.order)
+            keys = came.sort_columns() if came.sorted else []
         df = after.df
+        if placed and not c.final:
+            # The order goes on with the rows, for what collects them later.
+            df = df.withColumns(placed)
+            keys = Scope(df, order=tuple(by)).sort_columns()
         skip, limit = (None if x is None else checks.count_of(x, self.params) for x in (c.skip, c.limit))
         if keys and (c.final or skip is not None or limit is not None):
             df = df.orderBy(*keys)
@@ -369,7 +386,10 @@ class Planner:
         if where is not None:
             # Sees the new names and, without grouping, the old ones.
             df = self.filter(Scope(df, after.vars), where).df
-        return Scope(df.select(*[col(x) for b in new.vars.values() for x in b.columns]), new.vars)
+        if c.final:
+            by = []
+        columns = [col(x) for b in new.vars.values() for x in b.columns]
+        return Scope(df.select(*columns, *[col(x) for x, _ in by]), new.vars, order=tuple(by), sorted=bool(by) and (bool(order) or came.sorted))
 
     def resolve(self, e: Node, items: list[Item]) -> Node:
         """Order expressions that repeat an item mean its column."""
@@ -393,7 +413,7 @@ class Planner:
 
     def grouped(self, scope: Scope, items: list[Item], order: list[Node]) -> tuple[DataFrame, dict[str, Binding], dict[Node, Val]]:
         """Implicit grouping: items without aggregates are keys; aggregates are computed once each."""
-        exprs = [i.expr for i in items]
+        exprs, came = [i.expr for i in items], scope
         plain = [i for i in items if not has_aggregate(i.expr)]
         calls: dict[Node, Val] = {}
         for e in exprs + order:
@@ -417,8 +437,14 @@ class Planner:
                 v = compiler(i.expr)
                 name = fresh(i.name.replace(".", "@"))
                 keyed[name] = v.col if not isinstance(v.type, T.NullType) else F.lit(None).cast("string")
-                group.append(name)
                 vars_[i.name] = Binding("value", {"": (name, v.type)})
+                if mixed(v.type):
+                    # Variants are no keys: grouped by what tells them apart.
+                    group.append(fresh("key"))
+                    keyed[group[-1]] = identity(v)
+                    extra.append(F.first(col(name)).alias(name))
+                else:
+                    group.append(name)
             known_keys[i.expr] = vars_[i.name].val()
         df = scope.df.withColumns(keyed) if keyed else scope.df
         put: dict[str, Column] = {}
@@ -428,15 +454,24 @@ class Planner:
             put[name] = x
             return name
 
+        ranks: list[str] = []
+
+        def rank() -> Column:
+            if not ranks:
+                ranks.append(fresh("rank"))
+            return col(ranks[0])
+
         made = []
         for n in calls:
-            v = aggregate(n, scope, compiler, named)  # type: ignore[arg-type]
+            v = aggregate(n, scope, compiler, named, rank if came.order else None)  # type: ignore[arg-type]
             name = fresh("agg")
             made.append(v.col.alias(name))
             calls[n] = Val(col(name), v.type)
         if put:
             df = df.withColumns(put)
         group = list(dict.fromkeys(group))
+        if ranks:
+            df = df.withColumn(ranks[0], F.row_number().over(Window.partitionBy(*[col(g) for g in group]).orderBy(*came.sort_columns())))
         df = df.groupBy(*[col(g) for g in group]).agg(*made, *extra)
         after = self.compiler(Scope(df, {}), {**calls, **known_keys})
         new: dict[str, Column] = {}
@@ -451,6 +486,18 @@ class Planner:
         return df, {i.name: vars_[i.name] for i in items}, {**calls, **known_keys}
 
 
+def key_field(b: Binding) -> tuple[str, T.DataType]:
+    return b.fields["_id" if b.kind != "value" else ""]
+
+
+def distinct(df: DataFrame, columns: list[tuple[str, T.DataType]]) -> DataFrame:
+    """One row for each combination of values of the columns."""
+    keys = {fresh("key"): identity(Val(col(c), t)) for c, t in columns if mixed(t)}
+    if not keys:
+        return df.dropDuplicates([c for c, _ in columns])
+    return df.withColumns(keys).dropDuplicates([c for c, t in columns if not mixed(t)] + list(keys)).drop(*keys)
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of both, columns in a's order, of types that hold both."""
     from quiver.plans.values import unify

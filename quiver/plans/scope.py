@@ -53,6 +53,8 @@ class Scope:
     df: DataFrame
     vars: dict[str, Binding] = field(default_factory=dict)
     unit: bool = False  # one row without variables
+    order: tuple[tuple[str, bool], ...] = ()  # columns that the rows are ordered by, and whether descending
+    sorted: bool = False  # by an ORDER BY, not only by the place in a list
 
     def with_(self, df: DataFrame, **new: Binding) -> "Scope":
         return Scope(df, {**self.vars, **new})
@@ -61,6 +63,15 @@ class Scope:
         kept = {k: b for k, b in self.vars.items() if k in names}
         return Scope(self.df.select(*[col(c) for b in kept.values() for c in b.columns]), kept)
 
+    def sort_columns(self) -> list[Column]:
+        return [col(c).desc_nulls_first() if down else col(c).asc_nulls_last() for c, down in self.order]
+
+    def ordered_as(self, old: "Scope") -> "Scope":
+        """With the order of the scope that it came from, where its columns are still there."""
+        if not old.order or self.order or not {c for c, _ in old.order} <= set(self.df.columns):
+            return self
+        return replace(self, order=old.order, sorted=old.sorted)
+
     def where(self, test: Column) -> "Scope":
         return replace(self, df=self.df.where(test), unit=False)
 

@@ -177,6 +177,28 @@ def record(items: dict[str, Val]) -> Val:
     return Val(F.struct(*[v.col.alias(k) for k, v in filled.items()]), t, {k: v.const for k, v in items.items()}, all(v.known for v in items.values()))
 
 
+def mixed(t: T.DataType) -> bool:
+    """Whether the type has a variant somewhere, which can be neither grouped nor compared as it is."""
+    if isinstance(t, T.ArrayType):
+        return mixed(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(mixed(f.dataType) for f in t.fields)
+    return isinstance(t, T.VariantType)
+
+
+def identity(v: Val) -> Column:
+    """A column that is the same for values that are the same: for variants the kind and the text.  Whole numbers are the same as integers."""
+    if not mixed(v.type):
+        return v.col
+    if not isinstance(v.type, T.VariantType):
+        return F.to_json(F.to_variant_object(v.col))
+    of = F.regexp_extract(F.schema_of_variant(v.col), r"^\w+", 0)
+    whole, number = F.try_variant_get(v.col, "$", "bigint"), F.try_variant_get(v.col, "$", "double")
+    digits = F.when(of.isin("DOUBLE", "FLOAT", "DECIMAL") & ((number != F.floor(number)) | (F.abs(number) >= 1 << 53)), number.cast("string")).otherwise(whole.cast("string"))
+    counts = of.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL")
+    return F.when(v.col.isNull(), F.lit(None).cast("string")).when(counts, F.concat(F.lit("NUMBER:"), digits)).otherwise(F.concat(of, F.lit(":"), F.to_json(v.col)))
+
+
 def null_of(t: T.DataType) -> Val:
     return Val(F.lit(None).cast("string" if isinstance(t, T.NullType) else t), t)
 
@@ -212,7 +234,7 @@ def equal(a: Val, b: Val) -> Column:
         out = a.col == b.col
         return out & ~F.isnan(a.col) if _maybe_nan(a) and _maybe_nan(b) else out
     if "any" in (ka, kb):
-        return a.col.cast("string") == b.col.cast("string")
+        return identity(Val(cast(a, VARIANT), VARIANT)) == identity(Val(cast(b, VARIANT), VARIANT))
     if ka == kb:
         return a.col == b.col
     return F.when(a.col.isNull() | b.col.isNull(), unknown).otherwise(False)

@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quiver.graph import EdgeTable, NodeTable, PropertyGraph, widen
+from quiver.operators.procedures import Procedure
+
+#: Turns that a conversation can have at most: the bits of a turn in its key.
+TURN_BITS = 16
+
 
-CHAIN = 60
+def turn_key(conv: str, turn: str) -> Column:
+    """The key of a turn, from its conversation's number and its own; conversations below 2^32."""
+    fits = F.col(turn).between(0, (1 << TURN_BITS) - 1)
+    return F.when(fits, F.shiftleft(F.col(conv).cast("bigint"), TURN_BITS) + F.col(turn)).when(F.col(turn).isNotNull(), F.raise_error(F.lit("a turn number beyond the key")).cast("bigint"))
 
 
 def commerce(spark: SparkSession, folder: str) -> PropertyGraph:
@@ -21,8 +31,7 @@ def commerce(spark: SparkSession, folder: str) -> PropertyGraph:
     g = g.with_nodes("User", events.select("user_id").where("user_id is not null").distinct(), "user_id").with_nodes("Event", events, "event_id")
     g = g.with_nodes("Vec", t("embeddings"), "vec_id").with_nodes("Doc", t("documents"), "doc_id").with_nodes("Page", t("pages"), "page_id")
     turns = t("conversations")
-    key = F.col("conv_id") * 4096 + F.col("turn")
-    g = g.with_nodes("Turn", turns, key)
+    g = g.with_nodes("Turn", turns, turn_key("conv_id", "turn"))
     g = g.with_edges("PLACED", t("orders").select("o_custkey", "o_orderkey"), ("Customer", "o_custkey"), ("Order", "o_orderkey"), "o_orderkey")
     # Line numbers repeat within an order here, so a line is known by more of its columns.
     line = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").bitwiseAND(F.lit((1 << 56) - 1))
@@ -32,9 +41,12 @@ def commerce(spark: SparkSession, folder: str) -> PropertyGraph:
     g = g.with_edges("LOCATED_IN", t("supplier").select("s_suppkey", "s_nationkey"), ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), "s_suppkey")
     g = g.with_edges("PART_OF", t("nation").select("n_nationkey", "n_regionkey"), ("Nation", "n_nationkey"), ("Region", "n_regionkey"), "n_nationkey")
     g = g.with_edges("DID", events.select("user_id", "event_id").where("user_id is not null"), ("User", "user_id"), ("Event", "event_id"), "event_id")
-    chain = t("part").select("p_partkey").where(F.col("p_partkey") < CHAIN - 1).withColumn("next_key", F.col("p_partkey") + 1)
+    following = t("part").select(F.col("p_partkey").alias("next_key"))
+    chain = t("part").select("p_partkey").join(following, F.expr("p_partkey + 1 = next_key"))
     g = g.with_edges("NEXT", chain, ("Part", "p_partkey"), ("Part", "next_key"), "p_partkey")
-    replies = turns.alias("a").join(turns.alias("b"), F.expr("a.conv_id = b.conv_id and a.turn + 1 = b.turn")).select(F.expr("a.conv_id * 4096 + a.turn as from_key"), F.expr("b.conv_id * 4096 + b.turn as to_key"))
+    replies = turns.alias("a").join(turns.alias("b"), F.expr("a.conv_id = b.conv_id and a.turn + 1 = b.turn")).select(turn_key("a.conv_id", "a.turn").alias("from_key"), turn_key("b.conv_id", "b.turn").alias("to_key"))
+    nations = Procedure((("region", "INTEGER?"),), (("name", "STRING"), ("key", "INTEGER")), widen(t("nation").selectExpr("n_regionkey as region", "n_name as name", "n_nationkey as key")))
+    g = replace(g, procedures={"tables.nationsOf": nations})
     return g.with_edges("REPLIED", replies, ("Turn", "from_key"), ("Turn", "to_key"), "from_key")
 
 

@@ -39,9 +39,13 @@ def normal(v):
     return v
 
 
-def bag(columns: list[str], found: list) -> list[str]:
+def ordered(columns: list[str], found: list) -> list[str]:
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(repr(tuple(normal(r[i]) for i in order)) for r in found)
+    return [repr(tuple(normal(r[i]) for i in order)) for r in found]
+
+
+def bag(columns: list[str], found: list) -> list[str]:
+    return sorted(ordered(columns, found))
 
 
 def duck(folder: str):

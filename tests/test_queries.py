@@ -5,7 +5,7 @@ import os
 import pytest
 
 from quiver import queries
-from tests.helpers import bag, duck
+from tests.helpers import bag, duck, ordered
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -21,7 +21,17 @@ def test_query(spark, con, name):
     df = queries.run(spark, FOLDER, name)
     found = con.sql(queries.QUERIES[name].sql)
     assert sorted(df.columns) == sorted(found.columns)
-    assert bag(df.columns, df.collect()) == bag(found.columns, found.fetchall())
+    got, want = df.collect(), found.fetchall()
+    assert bag(df.columns, got) == bag(found.columns, want)
+    last = queries.QUERIES[name].text.rsplit("RETURN", 1)[-1]
+    if " ORDER BY " in last:
+        assert ordered(df.columns, got) == ordered(found.columns, want)
+
+
+def test_union_mixed(spark, con):
+    rows = queries.run(spark, FOLDER, "union_mixed").collect()
+    assert len(rows) == con.sql("select count(*) from (select c_nationkey::varchar as x from customer union select s_nationkey::varchar from supplier union select n_name from nation)").fetchall()[0][0]
+    assert {type(r.x.toPython()) for r in rows} == {int, str}
 
 
 def test_entry(spark):
