@@ -12,27 +12,60 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Small sides up to this many rows are broadcast; above it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Sides up to this many bytes, as their rows count, are broadcast; above it the join shuffles.
+BROADCAST_BYTES = 8 << 20
+#: A key is hot if it holds more than one in so many rows, so there are fewer hot keys than this.
+HOT = 1000
+#: Parts that a hot key's rows are dealt into.
+SALTS = 64
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Only in local mode, where it may be unset (tests), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoints-")
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder that spark.checkpoint.dir names."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with a side that is usually small: broadcast when its counted size allows, else shuffled."""
-    rows = right.count() if rows is None else rows
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: int | None = None, width: Column | None = None) -> DataFrame:
+    """Join with a side that is usually small: broadcast if its bytes allow, else shuffled.
+
+    size: the bytes, if known; else the sum of width over its rows (32 bytes a row unless given).
+    """
+    if size is None:
+        size = right.agg(F.sum(F.lit(32) if width is None else width).alias("n")).first()["n"] or 0
+    return left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right.hint("merge"), on, how)
+
+
+def hot_keys(counted: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """counted: a row per key with its number of rows.  The keys of over 1 in HOT of all rows: fewer than HOT, whatever the input."""
+    total = counted.agg(F.sum(n).alias("n")).first()["n"] or 0
+    return counted.where(F.col(n) > max(total // HOT, 1)).select(*on)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Join in which the left rows of hot keys are dealt by hash over SALTS parts, and the right rows of those keys repeated in each.
+
+    hot: keys, or some columns of them, fewer than HOT rows; right has few rows for a key.
+    """
+    by = hot.columns
+    flagged = F.broadcast(hot.distinct().withColumn("is_hot_", F.lit(True)))
+    salt = F.when(F.col("is_hot_"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    one = left.join(flagged, by, "left").withColumn("salt_", salt).drop("is_hot_")
+    parts = F.when(F.col("is_hot_"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other = right.join(flagged, by, "left").withColumn("salt_", F.explode(parts)).drop("is_hot_")
+    return one.join(other, [*on, "salt_"], how).drop("salt_")
 
 
 def text_or_empty(name: str = "text") -> Column:

@@ -88,13 +88,13 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Map
     n = given.count()
 
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    keyed = small_join(rows, given, names, rows=n).withColumn("mix_key", key).withColumn("mix_bin", F.substring("mix_key", 1, DIGITS))
+    keyed = small_join(rows, given, names, size=200 * n).withColumn("mix_key", key).withColumn("mix_bin", F.substring("mix_key", 1, DIGITS))
     histogram = keyed.groupBy(*names, "rest", "mix_bin").agg(F.sum("mix_tokens").alias("t"))
     running = histogram.withColumn("end", F.sum("t").over(Window.partitionBy(*names).orderBy("mix_bin")))
     # The first range that doesn't fit, and what the ranges before it hold: one row per leaf.
     ends = running.where("end > rest").groupBy(*names).agg(F.min(F.struct("mix_bin", (F.col("end") - F.col("t")).alias("start"))).alias("last"))
     ends = checkpoint(ends.select(*names, F.col("last.mix_bin").alias("last_bin"), F.col("last.start").alias("start")))
-    keyed = small_join(keyed, ends, names, "left", rows=n)
+    keyed = small_join(keyed, ends, names, "left", size=200 * n)
     before = F.coalesce(F.col("mix_bin") < F.col("last_bin"), F.lit(True))
     whole = F.when(F.col("epochs") > 0, F.sequence(F.lit(0), F.col("epochs") - 1)).otherwise(F.array().cast("array<int>"))
     drop = ["epochs", "rest", "mix_key", "mix_bin", "last_bin", "start"]

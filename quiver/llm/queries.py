@@ -118,34 +118,45 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def url_list(pages: DataFrame) -> DataFrame:
-    """A dated list over the hosts of pages, by rule: half of them are entered, some leave, some come back."""
+    """Dated logs of three lists over the hosts of pages, by rule: half of the hosts and their domains are entered, some leave, some come back, and some are on two lists."""
     hosts = pages.select(url_filters.host_of("url").alias("pattern")).where("pattern <> ''").distinct()
     parents = hosts.select(F.regexp_extract("pattern", r"([^.]+\.[^.]+)$", 1).alias("pattern")).where("pattern <> ''").distinct()
     both = hosts.union(parents).distinct().withColumn("h", F.expr("cast(conv(substring(md5(pattern), 1, 8), 16, 10) as bigint)")).where("h % 2 = 0")
     first = F.expr("cast(18262 + (h div 2) % 900 as int)")
-    category = F.expr("concat('list', cast(h % 3 as string))")
+    entry = lambda day, action, seq, own: F.struct(day.alias("day"), action.alias("action"), F.lit(seq).alias("seq"), F.concat(F.lit("list"), own.cast("string")).alias("category"))
+    own, other = F.expr("h % 3"), F.expr("(h + 1) % 3")
+    add, remove = F.lit("add"), F.lit("remove")
     log = F.array(
-        F.struct(first.alias("day"), F.lit("add").alias("action")),
-        F.struct((first + 200).alias("day"), F.when(F.expr("h % 4 = 0"), F.lit("remove")).otherwise(F.lit("add")).alias("action")),
-        F.struct((first + 400).alias("day"), F.when(F.expr("h % 8 = 0"), F.lit("add")).otherwise(F.lit("remove")).alias("action")),
+        entry(first, add, 1, own),
+        entry(first + 200, F.when(F.expr("h % 4 = 0"), remove).otherwise(add), 2, own),
+        entry(first + 400, F.when(F.expr("h % 8 = 0"), add).otherwise(remove), 3, own),
+        entry(first + 400, F.when(F.expr("h % 16 = 0"), remove).otherwise(add), 4, F.when(F.expr("h % 5 = 0"), own).otherwise(other)),
+        entry(first + 100, F.when(F.expr("h % 7 < 4"), add).otherwise(remove), 5, other),
+        entry(first + 300, remove, 6, other),
     )
-    return both.select("pattern", category.alias("category"), F.explode(log).alias("e")).select("pattern", "category", "e.day", "e.action")
+    return both.select("pattern", F.explode(log).alias("e")).select("pattern", "e.*")
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url").withColumn("fetch_day", F.expr("cast(18262 + page_id % 1461 as int)"))
-    return url_filters.filter_urls(pages, url_list(pages), horizon=18262 + 1461)
+    return url_filters.filter_urls(pages, url_list(pages))
 
 
-OP8_SQL = r"""with p as (select page_id, lower(regexp_replace(coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1), ''), '\.+$', '')) host, (18262 + page_id % 1461)::int fetch_day from pages),
+OP8_SQL = r"""with p as (select page_id, lower(regexp_replace(coalesce(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1), ''), '\.+$', '')) host, (18262 + page_id % 1461)::int fetch_day from pages),
 h as (select distinct host as pattern from p where host <> ''),
 b as (select pattern from h union select regexp_extract(pattern, '([^.]+\.[^.]+)$', 1) from h where regexp_extract(pattern, '([^.]+\.[^.]+)$', 1) <> ''),
 x as (select pattern, ('0x' || substr(md5(pattern), 1, 8))::bigint as h from b),
-l as (select pattern, 'list' || (h % 3) as category, 18262 + (h // 2) % 900 as d, h from x where h % 2 = 0),
-e as (select pattern, category, d as day, 'add' as action from l union all select pattern, category, d + 200, case when h % 4 = 0 then 'remove' else 'add' end from l union all select pattern, category, d + 400, case when h % 8 = 0 then 'add' else 'remove' end from l),
-v as (select *, coalesce(lead(day) over (partition by pattern order by day), 2932896) as till from e),
-m as (select p.page_id, count(*) n, arg_max(v.pattern, length(v.pattern)) pattern, arg_max(v.category, length(v.pattern)) category from p join v on v.action = 'add' and p.host <> '' and v.day <= p.fetch_day and p.fetch_day < v.till and (p.host = v.pattern or (ends_with(p.host, '.' || v.pattern) and contains(v.pattern, '.'))) group by 1)
-select p.page_id, p.host, p.fetch_day, coalesce(m.n, 0)::bigint as n_matches, m.pattern, m.category, m.n is not null as blocked from p left join m using (page_id)"""
+l as (select pattern, h % 3 as own, (h + 1) % 3 as other, 18262 + (h // 2) % 900 as d, h from x where h % 2 = 0),
+e as (select pattern, 'list' || own as category, d as day, 'add' as action, 1 as seq from l
+union all select pattern, 'list' || own, d + 200, case when h % 4 = 0 then 'remove' else 'add' end, 2 from l
+union all select pattern, 'list' || own, d + 400, case when h % 8 = 0 then 'add' else 'remove' end, 3 from l
+union all select pattern, 'list' || (case when h % 5 = 0 then own else other end), d + 400, case when h % 16 = 0 then 'remove' else 'add' end, 4 from l
+union all select pattern, 'list' || other, d + 100, case when h % 7 < 4 then 'add' else 'remove' end, 5 from l
+union all select pattern, 'list' || other, d + 300, 'remove', 6 from l),
+f as (select pattern, category, day, arg_max(action, seq) as action from e group by all),
+v as (select *, coalesce(lead(day) over (partition by pattern, category order by day), 2147483647) as till from f),
+m as (select p.page_id, count(*) n, max((length(v.pattern), v.pattern, v.category)) as best from p join v on v.action = 'add' and p.host <> '' and v.day <= p.fetch_day and p.fetch_day < v.till and (p.host = v.pattern or (ends_with(p.host, '.' || v.pattern) and contains(v.pattern, '.') and not regexp_matches(p.host, '^(\[.*|[0-9]+(\.[0-9]+){3})$'))) group by 1)
+select p.page_id, p.host, p.fetch_day, coalesce(m.n, 0)::bigint as n_matches, m.best[2] as pattern, m.best[3] as category, m.n is not null as blocked from p left join m using (page_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
