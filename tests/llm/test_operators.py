@@ -185,17 +185,66 @@ def test_media(docs, nothing):
     assert media_columns.telephony(nothing).count() == 0
 
 
-def test_deobfuscation():
-    text = " ".join(["you are an idiot and a moron loser", "stupid trash clown", "worthless pathetic people", "disgusting scum"] * 50)
+def restorer():
+    import pandas as pd
+
+    text = " ".join(["you are an idiot and a moron loser", "stupid trash clown", "worthless pathetic people", "disgusting scum", "the house is over there and they have seen the river"] * 50)
     s = toxicity.symbols(f"  {text}  ").astype(np.int64)
     codes, n = np.unique((s[:-2] * 64 + s[1:-1]) * 64 + s[2:], return_counts=True)
-    import pandas as pd
+    words = Counter(text.split())
+    return toxicity.Restorer(toxicity.language_model(pd.DataFrame({"code": codes, "n": n})), {w: float(np.log(k / words.total())) for w, k in words.items()})
+
 
-    r = toxicity.Restorer(toxicity.language_model(pd.DataFrame({"code": codes, "n": n})))
-    for written, meant in (("1d10t", "idiot"), ("i d i o t!", "idiot!"), ("m.0.r.o.n", "moron"), ("l00ser", None), ("idiooooot", "idiot"), ("$tup1d", "stupid"), ("(clown)", "(clown)"), ("a b c", "a b c"), ("", "")):
-        if meant is not None:
-            assert r.restore(written) == meant
+def test_deobfuscation():
+    r = restorer()
+    spaced_out = "y o u a r e a n i d i o t a n d a m o r o n l o s e r"
+    same = ["(clown)", "a b c", "", "1 2 3 4 5 6", "well-known house", "3.14"]
+    for written, meant in [(x, x) for x in same] + [
+        ("1d10t", "idiot"), ("i d i o t!", "idiot!"), ("m.0.r.o.n", "moron"), ("l00ser", "loser"), ("idiooooot", "idiot"), ("$tup1d", "stupid"), ("i  d  i  o  t", "idiot"), ("id.iot", "idiot"), ("id-iot", "idiot"), ("i-d-i-o-t", "idiot"),
+        ("iiddiioott", "idiot"), ("w0rthle$$", "worthless"), (spaced_out, "you are an idiot and a moron loser"), (f"so {spaced_out}, he", "so you are an idiot and a moron loser, he"), ("y o u  a r e  s t u p 1 d", "you are stupid"), ("y.o.u a.r.e a.n i.d.i.o.t", "you are an idiot"),
+    ]:
+        assert r.restore(written) == meant, written
     assert r.restore("z" * 100_000) == "z"
+    long = " ".join("youareanidiot" * 900)
+    assert r.restore(long) == " ".join(["you are an idiot"] * 900)  # over 10,000 letters, one span
+
+
+def test_deobfuscation_against_enumeration():
+    rng = random.Random(4)
+    r = restorer()
+    for _ in range(60):
+        span = "".join(rng.choice(["i", "d", "1", "0", "o", "t", "t", "e", "3", "$", " ", " ", "."]) for _ in range(rng.randint(3, 9))).strip(" .") or "a"
+        best, scores = None, {}
+        for way in itertools.product(*r.choices(span)):
+            text, total, x, y = "".join(p for p, _ in way), sum(c for _, c in way), 0, 0
+            for c in toxicity.symbols(text).tolist():
+                total += r.model[x][y][c]
+                x, y = y, c
+            scores[text.strip()] = max(scores.get(text.strip(), -1e9), total)
+            best = max(best if best is not None else -1e9, total)
+        assert scores[r.decode(span)] == pytest.approx(best), span
+    settle, toxicity.SETTLE = toxicity.SETTLE, 3
+    try:
+        assert [restorer().decode(s) for s in ("y0u are 1d10t", "i d i o t a n d")] == [r.decode(s) for s in ("y0u are 1d10t", "i d i o t a n d")]
+    finally:
+        toxicity.SETTLE = settle
+
+
+def test_logistic_regression():
+    """Against plain gradient descent on dense rows."""
+    rng = np.random.default_rng(5)
+    rows = [sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist()) for _ in range(300)]
+    x = np.zeros((300, 13))
+    for i, h in enumerate(rows):
+        x[i, h] = 1
+    x[:, 12] = 1
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, :3].sum(axis=1) * 2 - 1.5)))).astype(float)
+    w = np.zeros(13)
+    for _ in range(20_000):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - y)
+        g[:12] += 0.5 * w[:12]
+        w -= 0.01 * g
+    assert np.allclose(toxicity.fit_weights(rows, np.ones(300), y, 12, ridge=0.5), w, atol=1e-3)
 
 
 def test_toxicity(spark, nothing):
@@ -209,7 +258,7 @@ def test_toxicity(spark, nothing):
             words.insert(rng.randrange(len(words)), rng.choice([w, w, w.replace("e", "3"), " ".join(w), w[0] + w[1:].replace("o", "0")]))
         rows.append((i, " ".join(words)))
         labels.append((i, int(bad), 1))
-    rows += [(5000, None), (5001, ""), (5002, "Ω" * 3000)]
+    rows += [(5000, None), (5001, ""), (5002, "Ω" * 3000), (5003, " ".join(rng.choice(WORDS) for _ in range(50)) + " " + " ".join("the vermin and the wretch over there under the table".replace(" ", "")) + " " + "water " * 30_000)]
     d = table(spark, rows)
     lab = spark.createDataFrame(labels + [(None, 1, 1), (9999, None, 1)], "doc_id bigint, toxic int, text int")
     got = {r.doc_id: r for r in toxicity.toxicity(d, lab).collect()}
@@ -217,6 +266,7 @@ def test_toxicity(spark, nothing):
     test = [(got[i].predicted, y) for i, y, _ in labels if zlib.crc32(str(i).encode()) % 3 == 1]
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, _ in rows)
     assert sum(p and not y for p, y in test) == 0 and sum(y and not p for p, y in test) <= 0.05 * len(test)
+    assert got[5003].predicted == 1  # spaced out and long, in a very long text
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
     assert toxicity.toxicity(nothing, lab).count() == 0
     assert {r.predicted for r in toxicity.toxicity(d.limit(5), lab.limit(0)).collect()} == {0}
@@ -240,12 +290,34 @@ def test_decontamination(spark, docs, nothing):
 
 
 def test_url_filters(spark):
-    entries = spark.createDataFrame([("bad.org", 10, "add", "x"), ("bad.org", 20, "remove", "x"), ("bad.org", 90, "add", "x"), ("sub.bad.org", 15, "add", "y"), ("bad.org", 10, "add", "x"), (None, 3, "add", "z"), ("c.d", None, "add", "z")], "pattern string, day int, action string, category string")
-    rows = [(1, "http://BAD.org/x", 9), (2, "https://u@a.sub.bad.org:80/", 15), (3, "http://bad.org", 20), (4, "http://www.bad.org./?q", 400), (5, None, 12), (6, "no url", 12), (7, "http://bad.org", None), (8, "http://notbad.org", 12), (9, "http://sub.bad.org", 30), (9, "http://sub.bad.org", 30)]
-    captures = spark.createDataFrame(rows, "page_id bigint, url string, fetch_day int").withColumn("pattern", F.lit(1))
-    got = Counter((r.page_id, r.blocked, r.pattern, r.n_matches) for r in url_filters.filter_urls(captures, entries, horizon=500).collect())
-    assert got == Counter([(1, False, None, 0), (2, True, "sub.bad.org", 2), (3, False, None, 0), (4, True, "bad.org", 1), (5, False, None, 0), (6, False, None, 0), (7, False, None, 0), (8, False, None, 0), (9, True, "sub.bad.org", 1), (9, True, "sub.bad.org", 1)])
+    schema = "pattern string, day int, action string, category string, seq int"
+    log = [("bad.org", 10, "add", "x", 1), ("bad.org", 20, "remove", "x", 2), ("bad.org", 90, "add", "x", 3), ("sub.bad.org", 15, "add", "y", 1), ("bad.org", 10, "add", "x", 1), (None, 3, "add", "z", 1), ("c.d", None, "add", "z", 1), ("0.0.1", 1, "add", "z", 1), ("same.day", 5, "remove", "z", 2), ("same.day", 5, "add", "z", 1)]
+    entries = spark.createDataFrame(log, schema).withColumn("host", F.lit(1))
+    rows = [(1, "http://BAD.org/x", 9), (2, "https://u@a.sub.bad.org:80/", 15), (3, "http://bad.org", 20), (4, "http://www.bad.org./?q", 400), (5, None, 12), (6, "no url", 12), (7, "http://bad.org", None), (8, "http://notbad.org", 12), (9, "http://sub.bad.org", 30), (9, "http://sub.bad.org", 30), (10, "http://bad.org", 2_000_000_000), (11, "http://[::1]:8/", 50), (12, "http://127.0.0.1/", 50), (13, "http://same.day/", 50), (14, "http://" + "a." * 300 + "bad.org/" + "q" * 100_000, 95), (15, "", 3)]
+    captures = spark.createDataFrame(rows, "page_id bigint, url string, fetch_day int").withColumn("pattern", F.lit(1)).withColumn("level", F.lit("x"))
+    found = url_filters.filter_urls(captures, entries).collect()
+    got = Counter((r.page_id, r.blocked, r.pattern, r.n_matches) for r in found)
+    free = [(i, False, None, 0) for i in (1, 3, 5, 6, 7, 8, 11, 12, 13, 15)]
+    assert got == Counter([*free, (2, True, "sub.bad.org", 2), (4, True, "bad.org", 1), (9, True, "sub.bad.org", 1), (9, True, "sub.bad.org", 1), (10, True, "bad.org", 1), (14, True, "bad.org", 1)])
+    assert {r.page_id: r.host for r in found}[11] == "[::1]"
     assert url_filters.filter_urls(captures.limit(0), entries).count() == 0
+    assert not any(r.blocked for r in url_filters.filter_urls(captures, entries.limit(0).drop("seq")).collect())
+
+
+def test_url_lists_against_replay(spark):
+    """Random logs of several lists, replayed entry by entry for each capture."""
+    rng = random.Random(12)
+    names = ["a.b", "x.a.b", "y.x.a.b", "c.d", "e.c.d"]
+    log = [(rng.choice(names), rng.choice([rng.randint(0, 60), rng.randint(0, 40_000), 1_000_000 + rng.randint(-2, 2), -rng.randint(1, 9000)]), rng.choice(["add", "add", "remove"]), rng.choice("pq"), i) for i in range(120)]
+    asked = [(i, "http://" + rng.choice([*names, "z.y.x.a.b", "b", "q.b"]), rng.choice([e[1] for e in log]) + rng.randint(-2, 2)) for i in range(200)]
+    got = {r.page_id: (r.n_matches, r.pattern, r.category) for r in url_filters.filter_urls(spark.createDataFrame(asked, "page_id int, url string, fetch_day int"), spark.createDataFrame(log, "pattern string, day int, action string, category string, seq int")).collect()}
+    for i, url, day in asked:
+        host, on = url[7:], {}
+        for pattern, d, action, category, _ in sorted(log, key=lambda e: (e[1], e[4])):
+            if d <= day and (host == pattern or host.endswith("." + pattern)):
+                on[pattern, category] = action == "add"
+        active = [(len(p), p, c) for (p, c), yes in on.items() if yes]
+        assert got[i] == (len(active), *(max(active)[1:] if active else (None, None)))
 
 
 def near(a, b):
