@@ -6,9 +6,9 @@ that may be meant, once or twice, and for each separator nothing or a blank.  A
 character trigram model of the whole corpus picks the likeliest spelling, of spans of any length in time
 that is linear in it; spaced-out spans are then split into words that the training texts have.  A logistic
 model over words and word beginnings scores the restored text.  Its features are all those whose
-frequency differs between the classes by a likelihood-ratio test, in either direction.
+frequency differs between the classes, by a likelihood-ratio test and by the ratio itself, in either direction.
 
-Null and empty texts have no features and score the model's base rate.  Very long texts are scored
+Null and empty texts have no features and score what the model gives to a text without any.  Very long texts are scored
 whole.  Repeated rows score alike.  Rows without a label, and labels without a row, only leave the
 training set.  With no labels of both kinds the score is the share of toxic labels (0 if there are none).
 An empty table gives no rows.  Other columns are kept where the caller keeps them.
@@ -35,6 +35,8 @@ SYMBOLS = 64
 TRAIN_ROWS = 20_000
 #: Least likelihood ratio (2 log) of a feature between the classes.
 GAIN = 12.0
+#: Least ratio of its two rates (log), in either direction: words that are merely a little more common in one class say more about length and language.
+LEAN = 1.0
 
 #: Signs and the letters that they stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -444,7 +446,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     part = lambda k, m, of: F.when(k > 0, k * F.log(k * F.lit(float(clean + toxic)) / (m * F.lit(float(of))))).otherwise(0.0)
     have = F.col("toxic") + F.col("clean")
     gain = 2 * (part(F.col("toxic"), have, toxic) + part(F.col("clean"), have, clean) + part(toxic - F.col("toxic"), clean + toxic - have, toxic) + part(clean - F.col("clean"), clean + toxic - have, clean))
-    names = sorted(r["feature"] for r in counts.where("feature <> ''").where(gain >= GAIN).select("feature").collect())
+    lean = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
+    names = sorted(r["feature"] for r in counts.where("feature <> ''").where((gain >= GAIN) & (F.abs(lean) >= LEAN)).select("feature").collect())
     at = {f: i for i, f in enumerate(names)}
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,7 +458,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 
     seen = rowed.select("text", "y").mapInArrow(encode, "y int, hits array<int>").groupBy("y", "hits").agg(F.count(F.lit(1)).alias("n")).toPandas()
     seen = seen.assign(key=[tuple(int(x) for x in h) for h in seen["hits"]]).sort_values(["key", "y"])
-    w = fit_weights([list(h) for h in seen["key"]], seen["n"].to_numpy(float), (seen["y"] > 0).to_numpy(float), len(names))
+    y = (seen["y"] > 0).to_numpy(float)
+    # Both classes weigh the same, so that one clear word outweighs their shares.
+    w = fit_weights([list(h) for h in seen["key"]], seen["n"].to_numpy(float) * np.where(y > 0, clean / toxic, 1.0), y, len(names))
     return Model(lm, words, dict(zip(names, w[:-1].tolist(), strict=True)), float(w[-1]))
 
 
