@@ -81,8 +81,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of whole texts: fewer rows in each, as a text can be long.  Also sees that workers find this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    """Arrow batches of whole texts: fewer rows in each, as a text can be long; a lower setting of the session stays.  Also ships the package."""
+    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    ship(spark)
+
+
+def ship(spark: SparkSession) -> None:
+    """See that workers find this package."""
     root = str(Path(__file__).resolve().parents[2])
     if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep) and os.getcwd() != root and not _shipped(spark):
         data = Path(tempfile.mkdtemp()) / "quiver_package.zip"

@@ -9,9 +9,12 @@ character.  Windows keep the cost linear in the line's length.  Each line is com
 line of its keys, verified by edit distance.  No key's members are gathered or paired with each other.
 
 A line occurrence goes if the same line occurs earlier, or if an earlier line is within one edit.
-Earlier: by (id, line number).  Lines shorter than least characters always stay.  A null id is before
-all others; rows with the same id count as one document, so their equal lines at equal places are the
-same occurrence.  Null texts stay null and have no lines.  Other columns are ignored.
+Earlier: by (id, line number).  Empty lines always stay: they part paragraphs.  Lines shorter than
+near_least characters go as repeats only, since one edit can make another word of them.  Ids are whole
+numbers (others are an error of the cast).  A null id is before all others; rows with the same id count
+as one document, so their equal lines at equal places are the same occurrence.  Null texts stay null and
+have no lines; an empty text is one empty line.  Very long lines and texts are read whole; a line's cost is
+linear in its length.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, small_join
+from quiver.llm.common import checkpoint, hot_keys, salted_join, small_join
 
 WINDOW = 48
 #: Ratio of the length classes.
@@ -40,12 +43,12 @@ def half_keys(line: Column, length: Column) -> Column:
     return F.array_distinct(F.array(*pair(length), *pair(length - 1)))
 
 
-def lines(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, n, h, g, keys) for lines of at least so many characters; h and g identify a line."""
+def lines(docs: DataFrame, near_least: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, no, n, h, g, keys) for lines that aren't empty; h and g identify a line.  keys are there from near_least characters on."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("no", "line"))
-    rows = rows.withColumn("n", F.char_length("line")).where(F.col("n") >= least)
+    rows = rows.withColumn("n", F.char_length("line")).where("n > 0")
     g = F.shiftleft(F.col("n").cast("bigint"), 32).bitwiseXOR(F.crc32("line"))
-    return rows.select("id", "no", "n", F.xxhash64("line").alias("h"), g.alias("g"), half_keys(F.col("line"), F.col("n")).alias("keys"))
+    return rows.select("id", "no", "n", F.xxhash64("line").alias("h"), g.alias("g"), F.when(F.col("n") >= near_least, half_keys(F.col("line"), F.col("n"))).alias("keys"))
 
 
 def windows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -66,8 +69,9 @@ def windows(candidates: DataFrame, window: int = WINDOW) -> DataFrame:
         )
 
     every = checkpoint(cut(0).union(cut(1)))
-    shared = every.groupBy("around").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("around")
-    return every.join(shared, "around", "left_semi")
+    shared = checkpoint(every.groupBy("around").agg(F.min("h").alias("a"), F.max("h").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("around", "n"))
+    # Lines of one form, as of a counter, share their surroundings in great numbers.
+    return salted_join(every, shared.select("around"), ["around"], hot_keys(shared, ["around"]), "left_semi")
 
 
 def variants(cut: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -93,7 +97,7 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     # Their texts: a document gives only the lines asked of it.
     asked = first.groupBy("id").agg(F.collect_list(F.struct("no", "h", "g", "n")).alias("asked"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
-    found = small_join(texts, asked, ["id"]).select("id", F.split("text", "\n").alias("all"), F.explode("asked").alias("x"))
+    found = small_join(texts, asked, ["id"], width=F.lit(24) + 32 * F.size("asked")).select("id", F.split("text", "\n").alias("all"), F.explode("asked").alias("x"))
     found = found.select("id", "x.no", "x.h", "x.g", "x.n", F.get("all", F.col("x.no")).alias("line")).where(F.xxhash64("line") == F.col("h"))
     found = checkpoint(found.dropDuplicates(["h", "g"]))
 
@@ -108,19 +112,20 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     return checked.select("h", "g").distinct()
 
 
-def dedup_lines(docs: DataFrame, least: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, near_least: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_repeated, n_near, text) for every row; text is what is left, its lines joined again."""
-    every = lines(docs, least, id_col, text_col)
+    every = lines(docs, near_least, id_col, text_col)
     distinct = every.groupBy("h", "g").agg(F.min(F.struct("id", "no")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     distinct = checkpoint(distinct.select("h", "g", "n", "copies", "first.id", "first.no", "keys"))
     near = near_lines(distinct, docs, id_col, text_col).withColumn("near", F.lit(True))
     first = distinct.select("h", "g", "copies", F.col("id").alias("id0"), F.col("no").alias("no0")).join(near, ["h", "g"], "left").where("copies > 1 or near")
     place = (F.col("id") == F.col("id0")) & (F.col("no") == F.col("no0"))
-    gone = every.select("id", "no", "h", "g").join(first, ["h", "g"]).withColumn("near", F.coalesce("near", F.lit(False))).where(~place | F.col("near"))
+    hot = hot_keys(distinct.select("h", "g", F.col("copies").alias("n")), ["h", "g"])
+    gone = salted_join(every.select("id", "no", "h", "g"), first, ["h", "g"], hot).withColumn("near", F.coalesce("near", F.lit(False))).where(~place | F.col("near"))
     gone = gone.groupBy("id").agg(F.collect_set(F.struct("no", place.alias("near"))).alias("gone"))
     gone = checkpoint(gone)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    out = small_join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("id")), gone, ["id"], "left")
+    out = small_join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("id")), gone, ["id"], "left", width=F.lit(24) + 12 * F.size("gone"))
     all_ = F.split("text", "\n")
     numbers = F.coalesce(F.transform("gone", lambda x: x["no"]), F.array().cast("array<int>"))
     kept = F.filter(all_, lambda x, i: ~F.array_contains(numbers, i))
