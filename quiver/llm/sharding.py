@@ -5,7 +5,8 @@ chunks, each chunk differences its groups into one tuple of shard sums, and the
 chunks (their number is bounded) are differenced again.  Slots within a shard come from counts
 of (shard, hash bucket) and a row number inside the bucket, so a large shard is no single task.
 
-Null texts count as empty, so they form one group with empty texts.  Repeated rows get a slot
+Null texts count as empty, so they form one group with empty texts.  Very long texts are units like any
+other, and a text that is larger than a shard's share makes its shard larger.  Repeated rows get a slot
 each.  Empty input gives an empty result.  Other columns are ignored.
 """
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, text_or_empty, utf8_bytes
+from quiver.llm.common import checkpoint, hot_keys, salted_join, ship, text_or_empty, utf8_bytes
 
 #: Groups in a chunk, until there are MOST_CHUNKS chunks.
 CHUNK_GROUPS = 2000
@@ -88,6 +89,7 @@ def difference(leaves: Sequence[int] | np.ndarray, k: int) -> np.ndarray:
 def shard_groups(groups: DataFrame, shards: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """groups: (g, bytes), one row a group.  Returns (g, chunk, part) and the table (chunk, part, shard)."""
     spark = groups.sparkSession
+    ship(spark)
     chunks = max(1, min(MOST_CHUNKS, -(-rows // CHUNK_GROUPS)))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -122,9 +124,11 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     )
     base = checkpoint(base)
     rows = base.count()
-    dealt, table = shard_groups(base.groupBy("g").agg(F.sum("size").alias("bytes")), shards, rows)
+    groups = checkpoint(base.groupBy("g").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")))
+    dealt, table = shard_groups(groups.select("g", "bytes"), shards, rows)
     buckets = max(1, min(65_536, -(-rows // (shards * BUCKET_ROWS))))
-    placed = base.join(dealt, "g").join(F.broadcast(table), ["chunk", "part"])
+    # A group of equal texts may hold a third of all rows.
+    placed = salted_join(base, dealt, ["g"], hot_keys(groups, ["g"])).join(F.broadcast(table), ["chunk", "part"])
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", F.lit(7)), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most shards x 65,536 rows.

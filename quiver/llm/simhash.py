@@ -7,8 +7,9 @@ cells within the bound on one side (the other side is found from there) and the
 verified inside the join.  No link is lost whatever the number of segments; that number follows the
 number of distinct fingerprints so that cells stay thin.
 
-Null and empty texts have no words and fingerprint 0, which links like any other.  Equal texts and
-repeated rows share a fingerprint and so a component.  A null id never becomes a component's id
+Null and empty texts have no words and fingerprint 0, which links like any other.  Very long texts are
+hashed whole.  Equal texts and repeated rows share a fingerprint and so a component.  An empty table gives
+no rows.  Other columns are ignored.  A null id never becomes a component's id
 unless all ids of the component are null.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, small_batches
+from quiver.llm.common import checkpoint, hot_keys, salted_join, small_batches
 from quiver.llm.components import components
 
 SEED = 42
@@ -132,7 +133,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     n_links counts the other fingerprints within the distance.
     """
     own = checkpoint(fingerprints(docs, words, id_col, text_col))
-    classes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     found = checkpoint(links(classes.select("fp"), classes.count(), distance))
     roots = components(found)
     ends = found.select(F.col("u").alias("fp")).union(found.select(F.col("v").alias("fp"))).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
@@ -140,4 +141,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("fp", "root").join(least, "root").join(ends, "fp").select("fp", "component_id", "n_links")
     of = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    return own.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
+    # A third of all rows may have one fingerprint.
+    return salted_join(own, of, ["fp"], hot_keys(classes, ["fp"])).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
