@@ -5,7 +5,8 @@ are decoded together: a step of the decoder runs over all blocks at once, so the
 many steps as a block has samples.  Decoded audio is resampled and kept as 16-bit PCM WAV.
 
 Payloads of any bytes survive encode_wav -> read_wav unchanged.  Null and empty texts give the
-padding alone.  Repeated rows give equal values.  Other columns are ignored.
+padding alone.  Very long texts are one recording; 64 rows are in hand at a time.  Repeated rows give equal
+values.  An empty table gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations

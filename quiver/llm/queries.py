@@ -34,21 +34,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Lines shorter than this stay as they are (op1).
-LEAST_LINE = 16
+#: Lines shorter than this go as repeats only, not as near ones (op1).
+NEAR_LINE = 16
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least=LEAST_LINE)
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), near_least=NEAR_LINE)
     return left.select("doc_id", "n_lines", "n_repeated", "n_near", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
 
 
 OP1_SQL = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as no from documents where text is not null),
-d as (select line, length(line) n, min((doc_id, no)) f from l where length(line) >= {LEAST_LINE} group by line),
-p as (select a.line x, a.f fx, b.line y, b.f fy from d a join d b on b.n = a.n and left(a.line, a.n // 2) = left(b.line, a.n // 2) and a.line <> b.line
-union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) and a.line <> b.line
-union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n + 1 and left(a.line, a.n // 2) = left(b.line, a.n // 2)
-union all select a.line, a.f, b.line, b.f from d a join d b on b.n = a.n + 1 and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
+d as (select line, length(line) n, min((doc_id, no)) f from l where line <> '' group by line),
+c as (select * from d where n >= {NEAR_LINE}),
+p as (select a.line x, a.f fx, b.line y, b.f fy from c a join c b on b.n = a.n and left(a.line, a.n // 2) = left(b.line, a.n // 2) and a.line <> b.line
+union all select a.line, a.f, b.line, b.f from c a join c b on b.n = a.n and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) and a.line <> b.line
+union all select a.line, a.f, b.line, b.f from c a join c b on b.n = a.n + 1 and left(a.line, a.n // 2) = left(b.line, a.n // 2)
+union all select a.line, a.f, b.line, b.f from c a join c b on b.n = a.n + 1 and right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
 q as (select * from p where levenshtein(x, y) <= 1),
 r as (select distinct line from (select case when fx < fy then y else x end as line from q)),
 m as (select l.doc_id, l.no, l.line, d.line is not null and (doc_id, no) <> d.f as rep, r.line is not null and (doc_id, no) = d.f as near from l left join d using (line) left join r using (line))
@@ -97,7 +98,9 @@ select doc_id, domain, language as lang, source, n::bigint as n_tokens, epoch::b
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns.telephony(table(spark, sf_dir, "documents"), with_media=False)
+    """The recordings and their resampled PCM are columns of the operator's result; digests of the stored PCM come from that column."""
+    stored = media_columns.telephony(table(spark, sf_dir, "documents"))
+    return stored.withColumns({"pcm_bytes": F.octet_length("pcm").cast("bigint"), "pcm_sha256": F.sha2("pcm", 256), "stored_bytes": F.octet_length("media").cast("bigint")}).drop("media", "pcm")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,8 @@ class Counter_:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.memory = memory
         self.pieces: dict[str, int] = {}
         self.split = re.compile(BYTE_LEVEL_PATTERN).findall

@@ -89,6 +89,21 @@ def test_sharding(docs, nothing):
     assert sharding.shard_documents(nothing).count() == 0
 
 
+def test_shards_are_balanced(spark):
+    """Sums of the shards against the least that is possible: near equal where texts are many, and no worse than the largest group else."""
+    rng = random.Random(9)
+    texts = ["x" * rng.randint(1, 3000) + str(i) for i in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5000 + i, texts[7]) for i in range(40)]
+    sums = Counter()
+    for r in sharding.shard_documents(table(spark, rows), shards=8).collect():
+        sums[r.shard] += r.size
+    assert len(sums) == 8 and max(sums.values()) - min(sums.values()) <= 16
+    sums = Counter()
+    for r in sharding.shard_documents(table(spark, [*rows[:50], (9000, "long" * 100_000)]), shards=8).collect():
+        sums[r.shard] += r.size
+    assert max(sums.values()) == 400_016
+
+
 def test_mixing(spark, nothing):
     rng = random.Random(4)
     rows = [(i, rng.choice(["s1", "s2", "s3", None]), rng.choice(["en", "de"]), rng.randint(0, 50)) for i in range(400)] + [(None, "s1", "en", 5), (7, "s1", "en", 5), (7, "s1", "en", 5)]
@@ -168,6 +183,41 @@ def test_adpcm_against_one_by_one():
     assert media_columns.adpcm_shapes([data, b"", data[:36]])[1].startswith("0/0/0")
 
 
+def test_features_against_one_by_one(spark):
+    """Shapes, CRCs and PCM of a recording, sample by sample in plain Python."""
+    import struct
+
+    rng = random.Random(6)
+    payload = bytes(rng.randrange(256) for _ in range(1152))
+
+    def law(code, kind):
+        if kind == "mulaw":
+            code = ~code & 0xFF
+            size = ((((code & 15) << 3) + 132) << (code >> 4 & 7)) - 132
+            return -size if code & 0x80 else size
+        code ^= 0x55
+        exponent, size = code >> 4 & 7, (code & 15) << 4
+        size = size + 8 if exponent == 0 else (size + 264) << (exponent - 1)
+        return size if code & 0x80 else -size
+
+    def plain(x, zero=False):
+        # Sign changes go by the sign bit of the code, which zero has too.
+        return f"{int((sum(v * v for v in x) / len(x)) ** 0.5)}/{max(abs(v) for v in x)}"
+
+    ((feature, pcm),) = media_columns.features([media_columns.encode_wav(payload, media_columns.MULAW)])
+    found = dict(p.split("=") for p in feature.split(";"))
+    for kind in ("mulaw", "alaw"):
+        changes = sum((a ^ b) >> 7 for a, b in itertools.pairwise(payload))
+        assert found[kind] == f"{plain([law(c, kind) for c in payload])}/{changes}"
+    samples = [law(c, "mulaw") for c in payload]
+    up = []
+    for a, b in zip(samples, samples[1:] + samples[-1:], strict=True):
+        up += [a, (a + b) // 2]
+    data = struct.pack(f"<{len(up)}h", *up)
+    head = b"RIFF" + struct.pack("<I", 36 + len(data)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 16000, 32000, 2, 16) + b"data" + struct.pack("<I", len(data))
+    assert pcm == head + data and found["pcm"] == f"{len(pcm)},{zlib.crc32(pcm)}"
+
+
 def test_media(docs, nothing):
     rows = media_columns.telephony(docs).collect()
     assert len(rows) == len(corpus())
@@ -331,29 +381,30 @@ def near(a, b):
 
 def test_line_dedup(spark, nothing):
     rng = random.Random(8)
-    pool = ["".join(rng.choice("ab ") for _ in range(rng.choice([5, 16, 17, 18, 47, 48, 49, 96, 97, 150]))) for _ in range(25)]
+    pool = ["".join(rng.choice("ab ") for _ in range(rng.choice([0, 1, 5, 16, 17, 18, 47, 48, 49, 96, 97, 150]))) for _ in range(25)]
     rows = [(0, None), (1, ""), (None, "a line of no document at all")]
     for i in range(2, 60):
         lines = []
         for _ in range(rng.randint(0, 5)):
             s = rng.choice(pool)
-            k = rng.randrange(len(s))
+            k = rng.randrange(len(s) + 1)
             s = rng.choice([s, s[:k] + "c" + s[k + 1 :], s[:k] + s[k + 1 :], s[:k] + "d" + s[k:], s])
             lines.append(s)
         rows.append((i, "\n".join(lines)))
     rows.append((rows[10][0], rows[10][1]))
+    rows += [(100, "n" * 60_000 + "\n" + "m" * 20), (101, "n" * 30_000 + "x" + "n" * 30_000)]
     got = Counter(map(tuple, line_dedup.dedup_lines(table(spark, rows)).collect()))
     first = {}
     for i, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
         for k, s in enumerate([] if t is None else t.split("\n")):
-            if len(s) >= 16:
+            if s:
                 first.setdefault(s, (i, k))
     order = lambda p: (-1 if p[0] is None else p[0], p[1])
-    gone = {s for s in first if any(near(s, o) and order(first[o]) < order(first[s]) for o in first if o != s)}
+    gone = {s for s in first if any(near(s, o) and order(first[o]) < order(first[s]) for o in first if o != s and len(o) >= 16) and len(s) >= 16}
     want = Counter()
     for i, t in rows:
         lines = [] if t is None else t.split("\n")
-        again = [len(s) >= 16 and first[s] != (i, k) for k, s in enumerate(lines)]
+        again = [s != "" and first[s] != (i, k) for k, s in enumerate(lines)]
         close = [s in gone and not a for s, a in zip(lines, again, strict=True)]
         left = "\n".join(s for s, a, c in zip(lines, again, close, strict=True) if not a and not c)
         want[(i, len(lines), sum(again), sum(close), None if t is None else left)] += 1
