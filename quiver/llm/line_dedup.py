@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint, hot_keys, salted_join, small_join
+from quiver.llm.common import checkpoint, hot_keys, salted_join
 
 WINDOW = 48
 #: Ratio of the length classes.
@@ -97,7 +97,8 @@ def near_lines(distinct: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     # Their texts: a document gives only the lines asked of it.
     asked = first.groupBy("id").agg(F.collect_list(F.struct("no", "h", "g", "n")).alias("asked"))
     texts = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.col(text_col).alias("text"))
-    found = small_join(texts, asked, ["id"], width=F.lit(24) + 32 * F.size("asked")).select("id", F.split("text", "\n").alias("all"), F.explode("asked").alias("x"))
+    # Both sides grow with the corpus, so this join, and the last one, are dealt by id at every size.
+    found = texts.join(asked.hint("merge"), "id").select("id", F.split("text", "\n").alias("all"), F.explode("asked").alias("x"))
     found = found.select("id", "x.no", "x.h", "x.g", "x.n", F.get("all", F.col("x.no")).alias("line")).where(F.xxhash64("line") == F.col("h"))
     found = checkpoint(found.dropDuplicates(["h", "g"]))
 
@@ -125,7 +126,7 @@ def dedup_lines(docs: DataFrame, near_least: int = 16, id_col: str = "doc_id", t
     gone = gone.groupBy("id").agg(F.collect_set(F.struct("no", place.alias("near"))).alias("gone"))
     gone = checkpoint(gone)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
-    out = small_join(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("id")), gone, ["id"], "left", width=F.lit(24) + 12 * F.size("gone"))
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), key.alias("id")).join(gone.hint("merge"), "id", "left")
     all_ = F.split("text", "\n")
     numbers = F.coalesce(F.transform("gone", lambda x: x["no"]), F.array().cast("array<int>"))
     kept = F.filter(all_, lambda x, i: ~F.array_contains(numbers, i))
