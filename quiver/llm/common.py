@@ -6,7 +6,9 @@ import gc
 import os
 import tempfile
 import time
+import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """The rows written as a table in the shared folder, and what deletes it once nothing reads it any more."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def drop() -> None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
+
+
 def small_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", size: int | None = None, width: Column | None = None) -> DataFrame:
     """Join with a side that is usually small: broadcast if its bytes allow, else shuffled.
 
