@@ -1,55 +1,54 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to pre-token frequencies.
 
-A pre-token's number of pieces depends on its characters alone, so the join needs no exchange:
-every worker keeps a table (pre-token -> pieces) of bounded size, fills it for the pre-tokens
-it meets for the first time, and sums frequency times pieces for each document.  No ids are kept.
-
-Null texts count as empty.  Empty texts have 0 bytes and 0 tokens.  Repeated rows are counted
-each for itself.  Other columns of the input are ignored.
+Documents are taken in blocks.  For each block and pre-token there is one row with the places of the
+documents that hold it and its frequencies there.  The distinct pre-tokens of all blocks are
+tokenized once, their numbers of pieces are joined to these rows, and each block's rows are brought
+together to sum frequency times pieces for each document.  No ids are kept.
+
+Null texts count as empty.  Empty texts have 0 bytes and 0 tokens.  Very long texts are whole in a block
+of their own.  Repeated rows are counted each for itself.  An empty table gives no rows.  Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections import Counter
-from collections.abc import Iterator
-from operator import mul
+from array import array
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import small_batches
+from quiver.llm.common import BROADCAST_BYTES, checkpoint, hot_keys, salted_join, small_batches, stored
 
 #: The published pre-token pattern of byte-level BPE, with \p{L} and \p{N} written
 #: as classes that the re module has; they are the same for the characters of PLAIN.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""
 
 #: Characters that every Unicode release since 2010 and both libraries put into the same class.
-#: Texts with others go to the tokenizer whole.
+#: Texts with others are split by the tokenizer's own pre-tokenizer.
 PLAIN = "\u0000-\u001b -±´-¸º»¿-ԧա-ֆא-תء-ؿف-يऄ-ह‐-‧‰-⁞₠-₸←-⇿ぁ-ゖァ-ヺ一-龥가-힣"
 
-#: Distinct pre-tokens that a worker remembers before it starts its table anew.
-MEMORY = 1_000_000
-#: Longer pre-tokens are counted but not remembered.
-LONG = 64
-#: Texts whose new pre-tokens are counted together.
-GROUP = 100
+#: A block ends at so many documents or characters.
+BLOCK_ROWS, BLOCK_CHARS = 1_000, 4_000_000
 
 
-class Counter_:
-    """Counts tokens of texts for one worker."""
+class Splitter:
+    """Splits texts into pre-tokens and counts the pieces of pre-tokens."""
 
-    def __init__(self, path: str, memory: int = MEMORY) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.memory = memory
-        self.pieces: dict[str, int] = {}
         self.split = re.compile(BYTE_LEVEL_PATTERN).findall
         self.odd = re.compile(f"[^{PLAIN}]").search
         self.special = [t.content for _, t in sorted(self.tokenizer.get_added_tokens_decoder().items())]
@@ -64,68 +63,126 @@ class Counter_:
                 parts = [p for c in cut for p in c]
         found: Counter = Counter()
         for p in parts:
-            found.update(self.split(p))
+            if self.odd(p):
+                found.update([p[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(p)])
+            else:
+                found.update(self.split(p))
         return found, special
 
-    def learn(self, new: list[str]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[w] = len(e)
-
-    def counts(self, texts: list[str]) -> list[int]:
-        """Tokens of each text.  Pre-tokens that are new to the worker are counted in one call per group of texts."""
-        out: list[int] = []
-        for at in range(0, len(texts), GROUP):
-            out += self.group(texts[at : at + GROUP])
-        return out
-
-    def group(self, texts: list[str]) -> list[int]:
-        found = [None if self.odd(t) else self.frequencies(t) for t in texts]
-        pieces = self.pieces
-        if len(pieces) > self.memory:
-            pieces.clear()
-        known = [f and list(map(pieces.get, f[0])) for f in found]
-        new = {w for f, k in zip(found, known, strict=True) if f and None in k for w, n in zip(f[0], k, strict=True) if n is None}
-        self.learn(list(new))
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, f in zip(texts, found, strict=True) if f is None], add_special_tokens=False))
-        out = []
-        for f, k in zip(found, known, strict=True):
-            if f is None:
-                out.append(len(next(whole)))
-            else:
-                out.append(f[1] + sum(map(mul, f[0].values(), map(pieces.__getitem__, f[0]) if None in k else k)))
-        for w in new:
-            if len(w) > LONG:
-                del pieces[w]
-        return out
+    def pieces(self, words: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-#: One counter for each tokenizer file in a worker, which serves many tasks.
-_COUNTERS: dict[str, Counter_] = {}
+#: One splitter for each tokenizer file in a worker, which serves many tasks.
+_SPLITTERS: dict[str, Splitter] = {}
 
 
-def counter(path: str) -> Counter_:
-    if path not in _COUNTERS:
-        _COUNTERS[path] = Counter_(path)
-    return _COUNTERS[path]
+def splitter(path: str) -> Splitter:
+    if path not in _SPLITTERS:
+        _SPLITTERS[path] = Splitter(path)
+    return _SPLITTERS[path]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for every row of docs, without a shuffle.
+def postings(found: list[Counter]) -> tuple[list[str], list[bytes], list[bytes]]:
+    """For each pre-token of a block: the places of its documents (16 bits each), and its frequencies there (32 bits each; none if all are 1)."""
+    places, counts = defaultdict(lambda: array("H")), {}
+    for place, f in enumerate(found):
+        for w, n in f.items():
+            at = places[w]
+            if n > 1 and w not in counts:
+                counts[w] = array("I", [1]) * len(at)
+            at.append(place)
+            if w in counts:
+                counts[w].append(n)
+    return list(places), [p.tobytes() for p in places.values()], [counts[w].tobytes() if w in counts else b"" for w in places]
 
-    The tokenizer's file must exist at tokenizer_path on every executor; truncation and padding are off.
-    """
-    small_batches(docs.sparkSession)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = slim.schema["doc_id"].dataType.simpleString()
+
+def blocks(docs: DataFrame, path: str) -> DataFrame:
+    """docs: (doc_id, text).  A row (block, word, places, counts) for each block and pre-token, and for each block one with its ids, bytes and special strings."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start = chars = 0
+        for i, n in enumerate(pc.fill_null(pc.utf8_length(b.column("text")), 0).to_pylist()):
+            if i > start and (chars + n > BLOCK_CHARS or i - start == BLOCK_ROWS):
+                yield b.slice(start, i - start)
+                start, chars = i, 0
+            chars += n
+        if start < b.num_rows:
+            yield b.slice(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path).counts
-        for b in batches:
+        split, task = splitter(path).frequencies, TaskContext.get().partitionId()
+        for k, b in enumerate(part for whole in batches for part in cut(whole)):
             texts = [t or "" for t in b.column("text").to_pylist()]
-            n = count(texts)
+            found = [split(t) for t in texts]
+            words, places, counts = postings([f for f, _ in found])
+            ids, sizes, special = b.column("doc_id").to_pylist(), [len(t.encode()) for t in texts], [n for _, n in found]
+            n = len(words)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+                [
+                    pa.array([task << 32 | k] * (n + 1), pa.int64()),
+                    pa.array([*words, None], pa.string()),
+                    pa.array([*places, None], pa.binary()),
+                    pa.array([*counts, None], pa.binary()),
+                    pa.array([None] * n + [ids], pa.list_(b.schema.field("doc_id").type)),
+                    pa.array([None] * n + [sizes], pa.list_(pa.int64())),
+                    pa.array([None] * n + [special], pa.list_(pa.int64())),
+                ],
+                ["block", "word", "places", "counts", "ids", "sizes", "special"],
             )
 
-    return slim.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return docs.mapInArrow(run, f"block bigint, word string, places binary, counts binary, ids array<{kind}>, sizes array<bigint>, special array<bigint>")
+
+
+def pieces(words: DataFrame, path: str) -> DataFrame:
+    """words: (word, n), no repeats.  (word, n, pieces)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(splitter(path).pieces(b.column("word").to_pylist()), pa.int64())], ["word", "n", "pieces"])
+
+    return words.mapInArrow(run, "word string, n bigint, pieces bigint")
+
+
+def sums(limit: int) -> Callable[[pa.Table], pa.Table]:
+    """From all rows of a block the counts of its documents."""
+
+    def run(t: pa.Table) -> pa.Table:
+        one = t.filter(pc.is_null(t["word"]))
+        t = t.filter(pc.is_valid(t["word"]))
+        ids, sizes, special = (one[c].combine_chunks().flatten() for c in ("ids", "sizes", "special"))
+        places = np.frombuffer(b"".join(t["places"].to_pylist()), np.uint16)
+        lengths = pc.binary_length(t["places"]).to_numpy() // 2
+        several = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint32)
+        times = np.ones(len(places), np.int64)
+        times[np.repeat(pc.binary_length(t["counts"]).to_numpy() > 0, lengths)] = several
+        n = special.to_numpy().copy()
+        np.add.at(n, places, times * np.repeat(t["pieces"].to_numpy(), lengths))
+        return pa.table([ids, sizes, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    return run
+
+
+def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_tokens, over_limit) for every row of docs.
+
+    The tokenizer's file must exist at tokenizer_path on every executor; truncation and padding are off.
+    The blocks are a table in the shared folder; each is read back by one task, which bounds that task by a block.
+    """
+    small_batches(docs.sparkSession)
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    rows, _ = stored(blocks(slim, tokenizer_path))
+    held = rows.where("word is not null").select("block", "word", "places", "counts")
+    counted = checkpoint(pieces(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")), tokenizer_path))
+    of = counted.select("word", "pieces")
+    size = counted.agg(F.sum(F.octet_length("word") + 32).alias("n")).first()["n"] or 0
+    joined = held.join(F.broadcast(of), "word") if size <= BROADCAST_BYTES else salted_join(held, of, ["word"], hot_keys(counted, ["word"]))
+    none = {"word": F.lit(None).cast("string"), "places": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary"), "pieces": F.lit(None).cast("bigint")}
+    columns = ["block", "word", "places", "counts", "pieces", "ids", "sizes", "special"]
+    empty = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("ids", "sizes", "special")}
+    whole = rows.where("word is null").withColumns(none).select(*columns)
+    # A word itself is not needed any more, only whether there is one.
+    together = joined.withColumns({"word": F.lit(""), **empty}).select(*columns).union(whole)
+    return together.groupBy("block").applyInArrow(sums(limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

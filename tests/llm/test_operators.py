@@ -62,6 +62,25 @@ def test_token_counts(spark, docs, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
+def test_token_counts_blocks_and_shuffled_join(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert [[len(f) for f in token_counts.postings([Counter("ab"), Counter("bbb")])], token_counts.postings([Counter("ab"), Counter("bbb")])[2][0]] == [[2, 2, 2], b""]
+    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", -1)
+    rows = [(i, " the " * (i % 7) + f"word{i % 13} é½ {'long ' * (400 * (i % 50 == 0))}") for i in range(120)] + [(5, " the "), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
+    try:
+        found = token_counts.token_counts(docs, path)
+        got = Counter((r.doc_id, r.n_tokens) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    t = Tokenizer.from_file(path)
+    assert got == Counter((i, len(t.encode(s or "", add_special_tokens=False).ids)) for i, s in rows)
+
+
 def test_differencing_beats_greedy():
     rng = random.Random(2)
     sizes = sorted((rng.randint(1, 1000) for _ in range(300)), reverse=True)
