@@ -1,21 +1,23 @@
 """Token counts: pieces are counted once per distinct pre-token and joined to pre-token frequencies.
 
-Documents are taken in blocks.  For each block and pre-token there is one row with the places of the
-documents that hold it and its frequencies there.  The distinct pre-tokens of all blocks are
-tokenized once, their numbers of pieces are joined to these rows, and each block's rows are brought
-together to sum frequency times pieces for each document.  No ids are kept.
+Documents are taken in blocks.  A block's pre-tokens are dealt by hash over buckets, and for each block and
+bucket there is one packed row with the pre-tokens, the places of the documents that hold them and their
+frequencies there.  All rows of a bucket meet in one task: it tokenizes each distinct pre-token of the bucket
+once, joins the numbers of pieces to the frequencies, and sends a block the sums of its documents.  A pre-token has one
+bucket, so it is counted once in all, and a frequent one costs its bucket one entry a block.  No ids are kept.
 
 Null texts count as empty.  Empty texts have 0 bytes and 0 tokens.  Very long texts are whole in a block
 of their own.  Repeated rows are counted each for itself.  An empty table gives no rows.  Other columns are
-ignored.
+ignored.  A block is rows that follow each other, so docs should be files or a checkpoint: rows that
+come in another order when a lost task is run again would not fit the sums that other tasks have read.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import BROADCAST_BYTES, checkpoint, hot_keys, salted_join, small_batches, stored
+from quiver.llm.common import small_batches
 
 #: The published pre-token pattern of byte-level BPE, with \p{L} and \p{N} written
 #: as classes that the re module has; they are the same for the characters of PLAIN.
@@ -38,6 +40,9 @@ PLAIN = "\u0000-\u001b -±´-¸º»¿-ԧա-ֆא-תء-ؿف-يऄ-ह‐-‧‰-
 #: A block ends at so many documents or characters.
 BLOCK_ROWS, BLOCK_CHARS = 1_000, 4_000_000
 
+#: UTF-8 bytes of text for each bucket, on average.
+BUCKET_BYTES = 16 << 20
+
 
 class Splitter:
     """Splits texts into pre-tokens and counts the pieces of pre-tokens."""
@@ -83,22 +88,54 @@ def splitter(path: str) -> Splitter:
     return _SPLITTERS[path]
 
 
-def postings(found: list[Counter]) -> tuple[list[str], list[bytes], list[bytes]]:
-    """For each pre-token of a block: the places of its documents (16 bits each), and its frequencies there (32 bits each; none if all are 1)."""
-    places, counts = defaultdict(lambda: array("H")), {}
-    for place, f in enumerate(found):
-        for w, n in f.items():
-            at = places[w]
-            if n > 1 and w not in counts:
-                counts[w] = array("I", [1]) * len(at)
-            at.append(place)
-            if w in counts:
-                counts[w].append(n)
-    return list(places), [p.tobytes() for p in places.values()], [counts[w].tobytes() if w in counts else b"" for w in places]
+def bucket_of(word: bytes, buckets: int) -> int:
+    return zlib.crc32(word) % buckets
+
 
+def packed(found: list[Counter], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed frequencies) for each bucket that the documents' pre-tokens fall into.
 
-def blocks(docs: DataFrame, path: str) -> DataFrame:
-    """docs: (doc_id, text).  A row (block, word, places, counts) for each block and pre-token, and for each block one with its ids, bytes and special strings."""
+    Packed: the numbers of pre-tokens and of entries, the pre-tokens' UTF-8 lengths and numbers of documents, and the
+    places and frequencies (32 bits each but for places, 16 bits), then the pre-tokens; pre-token by pre-token, compressed.
+    """
+    sizes = [len(f) for f in found]
+    if not any(sizes):
+        return
+    coded = pa.array([w for f in found for w in f], pa.large_string()).dictionary_encode()
+    words, index = coded.dictionary, coded.indices.to_numpy()
+    bucket = np.array([bucket_of(w, buckets) for w in words.cast(pa.large_binary()).to_pylist()], np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # Entries in the order of their pre-tokens' ranks.
+    entries = np.argsort(rank[index], kind="stable")
+    places = np.repeat(np.arange(len(found), dtype=np.uint16), sizes)[entries]
+    counts = np.fromiter((n for f in found for n in f.values()), np.uint32, len(index))[entries]
+    widths = np.bincount(rank[index], minlength=len(order)).astype(np.uint32)
+    words = words.take(pa.array(order))
+    offsets, raw = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1), words.buffers()[2]
+    ends, held = np.concatenate([[0], np.cumsum(widths, dtype=np.int64)]), bucket[order]
+    starts = np.flatnonzero(np.diff(held, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(held)]):
+        x, y = ends[a], ends[b]
+        parts = [np.array([b - a, y - x], np.uint32), np.diff(offsets[a : b + 1]).astype(np.uint32), widths[a:b], counts[x:y], places[x:y]]
+        yield int(held[a]), zlib.compress(b"".join([*(p.tobytes() for p in parts), raw[offsets[a] : offsets[b]].to_pybytes()]), 1)
+
+
+def unpacked(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens, numbers of documents, places, frequencies."""
+    data = zlib.decompress(data)
+    words, entries = np.frombuffer(data, np.uint32, 2).tolist()
+    lengths, widths = np.frombuffer(data, np.uint32, words, 8), np.frombuffer(data, np.uint32, words, 8 + 4 * words)
+    counts = np.frombuffer(data, np.uint32, entries, 8 + 8 * words)
+    at = 8 + 8 * words + 4 * entries
+    places = np.frombuffer(data, np.uint16, entries, at)
+    ends = (at + 2 * entries + np.cumsum(lengths, dtype=np.int64)).tolist()
+    return [data[a:b] for a, b in zip([at + 2 * entries, *ends], ends)], widths, places, counts
+
+
+def blocks(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+    """docs: (doc_id, text).  A row (bucket, block, data) for each block and bucket, and for each block one with its ids, bytes and special strings."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -114,51 +151,60 @@ def blocks(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, task = splitter(path).frequencies, TaskContext.get().partitionId()
         for k, b in enumerate(part for whole in batches for part in cut(whole)):
+            block = task << 32 | k
             texts = [t or "" for t in b.column("text").to_pylist()]
             found = [split(t) for t in texts]
-            words, places, counts = postings([f for f, _ in found])
+            rows = list(packed([f for f, _ in found], buckets))
             ids, sizes, special = b.column("doc_id").to_pylist(), [len(t.encode()) for t in texts], [n for _, n in found]
-            n = len(words)
+            n = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([task << 32 | k] * (n + 1), pa.int64()),
-                    pa.array([*words, None], pa.string()),
-                    pa.array([*places, None], pa.binary()),
-                    pa.array([*counts, None], pa.binary()),
+                    pa.array([*(r[0] for r in rows), bucket_of(b"%d" % block, buckets)], pa.int32()),
+                    pa.array([block] * (n + 1), pa.int64()),
+                    pa.array([*(r[1] for r in rows), None], pa.binary()),
                     pa.array([None] * n + [ids], pa.list_(b.schema.field("doc_id").type)),
                     pa.array([None] * n + [sizes], pa.list_(pa.int64())),
                     pa.array([None] * n + [special], pa.list_(pa.int64())),
                 ],
-                ["block", "word", "places", "counts", "ids", "sizes", "special"],
+                ["bucket", "block", "data", "ids", "sizes", "special"],
             )
 
-    return docs.mapInArrow(run, f"block bigint, word string, places binary, counts binary, ids array<{kind}>, sizes array<bigint>, special array<bigint>")
+    return docs.mapInArrow(run, f"bucket int, block bigint, data binary, ids array<{kind}>, sizes array<bigint>, special array<bigint>")
 
 
-def pieces(words: DataFrame, path: str) -> DataFrame:
-    """words: (word, n), no repeats.  (word, n, pieces)."""
+def joined(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces the packed frequencies by the block's sums of frequency times pieces: places (16 bits each), then sums (64 bits each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = splitter(path).pieces
+        known: dict[bytes, int] = {}  # the pieces of this task's pre-tokens, each counted once
+
+        def summed(data: bytes) -> bytes:
+            words, widths, places, counts = unpacked(data)
+            new = [w for w in words if w not in known]
+            known.update(zip(new, count([w.decode() for w in new])))
+            n = np.zeros(int(places.max()) + 1, np.int64)
+            np.add.at(n, places, counts * np.repeat(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), widths))
+            held = np.flatnonzero(n)
+            return held.astype(np.uint16).tobytes() + n[held].tobytes()
+
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(splitter(path).pieces(b.column("word").to_pylist()), pa.int64())], ["word", "n", "pieces"])
+            data = pa.array([None if d is None else summed(d) for d in b.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("block"), data, *(b.column(c) for c in ("ids", "sizes", "special"))], ["block", "data", "ids", "sizes", "special"])
 
-    return words.mapInArrow(run, "word string, n bigint, pieces bigint")
+    return run
 
 
 def sums(limit: int) -> Callable[[pa.Table], pa.Table]:
     """From all rows of a block the counts of its documents."""
 
     def run(t: pa.Table) -> pa.Table:
-        one = t.filter(pc.is_null(t["word"]))
-        t = t.filter(pc.is_valid(t["word"]))
+        one = t.filter(pc.is_null(t["data"]))
         ids, sizes, special = (one[c].combine_chunks().flatten() for c in ("ids", "sizes", "special"))
-        places = np.frombuffer(b"".join(t["places"].to_pylist()), np.uint16)
-        lengths = pc.binary_length(t["places"]).to_numpy() // 2
-        several = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint32)
-        times = np.ones(len(places), np.int64)
-        times[np.repeat(pc.binary_length(t["counts"]).to_numpy() > 0, lengths)] = several
         n = special.to_numpy().copy()
-        np.add.at(n, places, times * np.repeat(t["pieces"].to_numpy(), lengths))
+        for d in t["data"].drop_null().to_pylist():
+            held = len(d) // 10
+            n[np.frombuffer(d, np.uint16, held)] += np.frombuffer(d[2 * held :], np.int64)
         return pa.table([ids, sizes, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
@@ -168,21 +214,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     """(id, n_bytes, n_tokens, over_limit) for every row of docs.
 
     The tokenizer's file must exist at tokenizer_path on every executor; truncation and padding are off.
-    The blocks are a table in the shared folder; each is read back by one task, which bounds that task by a block.
+    There are so many buckets that one has at most BUCKET_BYTES of text on average, and as many as the session shuffles into at least.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    rows, _ = stored(blocks(slim, tokenizer_path))
-    held = rows.where("word is not null").select("block", "word", "places", "counts")
-    counted = checkpoint(pieces(held.groupBy("word").agg(F.count(F.lit(1)).alias("n")), tokenizer_path))
-    of = counted.select("word", "pieces")
-    size = counted.agg(F.sum(F.octet_length("word") + 32).alias("n")).first()["n"] or 0
-    joined = held.join(F.broadcast(of), "word") if size <= BROADCAST_BYTES else salted_join(held, of, ["word"], hot_keys(counted, ["word"]))
-    none = {"word": F.lit(None).cast("string"), "places": F.lit(None).cast("binary"), "counts": F.lit(None).cast("binary"), "pieces": F.lit(None).cast("bigint")}
-    columns = ["block", "word", "places", "counts", "pieces", "ids", "sizes", "special"]
-    empty = {c: F.lit(None).cast(rows.schema[c].dataType) for c in ("ids", "sizes", "special")}
-    whole = rows.where("word is null").withColumns(none).select(*columns)
-    # A word itself is not needed any more, only whether there is one.
-    together = joined.withColumns({"word": F.lit(""), **empty}).select(*columns).union(whole)
-    return together.groupBy("block").applyInArrow(sums(limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    size = slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    rows = blocks(slim, tokenizer_path, buckets).repartitionById(buckets, "bucket")
+    counted = rows.mapInArrow(joined(tokenizer_path), f"block bigint, data binary, ids array<{kind}>, sizes array<bigint>, special array<bigint>")
+    return counted.groupBy("block").applyInArrow(sums(limit), f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")

@@ -62,13 +62,20 @@ def test_token_counts(spark, docs, nothing):
     assert token_counts.token_counts(nothing, path).count() == 0
 
 
-def test_token_counts_blocks_and_shuffled_join(spark, monkeypatch):
+def test_token_counts_blocks_and_buckets(spark, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert [[len(f) for f in token_counts.postings([Counter("ab"), Counter("bbb")])], token_counts.postings([Counter("ab"), Counter("bbb")])[2][0]] == [[2, 2, 2], b""]
-    monkeypatch.setattr(token_counts, "BROADCAST_BYTES", -1)
+    frequencies = [Counter({"a": 1, " é": 70_000}), Counter(), Counter({"a": 2, "b": 1})]
+    back = Counter()
+    for bucket, data in token_counts.packed(frequencies, 3):
+        words, widths, places, counts = token_counts.unpacked(data)
+        assert {token_counts.bucket_of(w, 3) for w in words} == {bucket}
+        back.update(dict(zip(zip(np.repeat(words, widths).tolist(), places.tolist()), counts.tolist())))
+    assert back == {(b"a", 0): 1, (" é".encode(), 0): 70_000, (b"a", 2): 2, (b"b", 2): 1}
+    assert list(token_counts.packed([Counter()], 3)) == []
+    monkeypatch.setattr(token_counts, "BUCKET_BYTES", 500)
     rows = [(i, " the " * (i % 7) + f"word{i % 13} é½ {'long ' * (400 * (i % 50 == 0))}") for i in range(120)] + [(5, " the "), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 30)
