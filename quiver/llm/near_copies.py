@@ -1,14 +1,19 @@
-"""Near copies by the Jaccard similarity of word shingles, exact, by prefix filtering.
+"""Near copies by the Jaccard similarity of word shingles: SimHash with an exact check, and prefix filtering for the pairs beyond its bits.
 
-A text is the set of its shingles; a text of fewer words is one shingle.  Under one order of all
+A text is the set of its shingles; a text of fewer words is one shingle.  First the sets' SimHash
+fingerprints over the same shingles are linked by op10's segment bit counts and grid range-join, and each
+link is held to the similarity itself.  At similarity 0.8 fingerprints differ in more bits than a grid can
+follow, so the pairs that they leave apart are found another way, which is exact alone: under one order of all
 shingles, two sets of similarity 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each,
 so only sets that share such a key are compared.  The order puts shingles that a sample finds often
-last; it bears on the cost alone.  Before two sets are compared, their sizes and the parities of
-their shingles in 512 cells bound the similarity from above; the rows of keys carry 128 of the cells.
+last; it bears on the cost alone.  Keys of the same sets are one key.  At the first key that two sets share, what
+follows it in each bounds what they have in common, so far places are not compared, and of a pair's keys those are left out
+that an earlier one of both sets shortly precedes.  Before two sets are compared, their sizes and the parities of
+their shingles in 512 cells, which the rows of keys carry, bound the similarity from above.
 In 512 cells the parities of a long set say next to nothing, so sets of more shingles also have them in as many cells as
 shingles or more, and a pair of such sets is held to these before its texts are read.
 
-Of each key's sets, first all may be compared with one of them, twice, each set with two such partners at most.  Then every pair of a key that
+Of each key's sets, first all may be compared with one of them, twice, each set with the two most similar such partners at most.  Then every pair of a key that
 links have not yet brought into one component is compared.  No pair is left out: a component holds
 what links over pairs of similarity 0.8 reach.
 
@@ -27,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiver.llm import simhash
 from quiver.llm.common import checkpoint, hot_keys, release, salted_join, small_batches, small_join, stored
 from quiver.llm.components import components
 from quiver.llm.decontamination import windows
@@ -38,9 +44,12 @@ PART, OF = 4, 5
 SAMPLE, RANKED = 4_000, 100_000
 #: Comparisons of each key's sets with one of them, before the pairs.
 ROUNDS = 2
+#: Words of 64 cells.
 CELLS = 8
-#: Cells (words of 64) that go with each key.
-FEW = 2
+#: Keys before a key, in the order of its set, that go with it.
+BEFORE = 4
+#: Bits that fingerprints may differ in to be linked by the grid.
+BITS = 2
 MEMORY = 300_000
 
 
@@ -134,48 +143,79 @@ def often_seen(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets(texts: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, fp, n, cells, fine, keys) for every row; cells, fine and keys only where the task has not met the set before."""
+    """(doc_id, h, fp, n, print, cells, fine, keys) for every row; print (SimHash), cells, fine and keys only where the task has not met the set before."""
     often = texts.sparkSession.sparkContext.broadcast(often_seen(texts, words))
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(words), set()
         for b in batches:
-            found = [shingles.of(t) for t in b.column("text").to_pylist()]
+            whole = b.column("text").to_pylist()
+            found = [shingles.of(t) for t in whole]
             names = [name_of(s) for s in found]
-            cells, fine, keys = [], [], []
-            for name, s in zip(names, found, strict=True):
+            first, cells, fine, keys = [], [], [], []
+            for i, (name, s) in enumerate(zip(names, found, strict=True)):
                 new = name not in seen
                 seen.add(name)
+                if new:
+                    first.append(i)
                 cells.append(parities(s) if new else np.zeros(0, np.int64))
                 fine.append(fine_parities(s) if new else None)
                 keys.append(prefix(s, *often.value) if new else np.zeros(0, np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(names, pa.int64()), pa.array(list(map(len, found)), pa.int64()), lists(cells), pa.array(fine, pa.binary()), lists(keys)], ["doc_id", "h", "fp", "n", "cells", "fine", "keys"])
+            prints = dict(zip(first, simhash.fingerprints_of([whole[i] for i in first], words).view(np.int64).tolist(), strict=True))
+            prints = pa.array([prints.get(i) for i in range(len(whole))], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(names, pa.int64()), pa.array(list(map(len, found)), pa.int64()), prints, lists(cells), pa.array(fine, pa.binary()), lists(keys)], ["doc_id", "h", "fp", "n", "print", "cells", "fine", "keys"])
 
-    return texts.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, cells array<bigint>, fine binary, keys array<bigint>")
+    return texts.select("doc_id", "h", "text").mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint, n bigint, print bigint, cells array<bigint>, fine binary, keys array<bigint>")
 
 
-def may_link(a: str, b: str, cells: int = CELLS) -> Column:
+def differ(a: str, b: str) -> Column:
+    """Cells whose parities differ."""
+    return reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.c{i}").bitwiseXOR(F.col(f"{b}.c{i}"))) for i in range(CELLS)]).cast("bigint")
+
+
+def may_link(a: str, b: str) -> Column:
     """Whether sizes and parities leave room for the similarity: at most (OF - PART) / (OF + PART) of both sizes differ."""
     n = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.c{i}").bitwiseXOR(F.col(f"{b}.c{i}"))) for i in range(cells)])
-    return (F.least(f"{a}.n", f"{b}.n") * OF >= F.greatest(f"{a}.n", f"{b}.n") * PART) & (differ * (OF + PART) <= n * (OF - PART))
+    return (F.least(f"{a}.n", f"{b}.n") * OF >= F.greatest(f"{a}.n", f"{b}.n") * PART) & (differ(a, b) * (OF + PART) <= n * (OF - PART))
+
+
+def may_start(a: str, b: str) -> Column:
+    """Whether a pair that is similar enough could have its first shared key here: all that it shares follows at.  Keys that are one have the least at of theirs."""
+    left = F.least(F.col(f"{a}.n") - F.col(f"{a}.at"), F.col(f"{b}.n") - F.col(f"{b}.at"))
+    return left * (OF + PART) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * PART
+
+
+def by_prints(cells: DataFrame) -> DataFrame:
+    """Pairs (u, v, d) of sets that SimHash links and sizes and parities leave: each set with one of its fingerprint, and those of fingerprints at most BITS apart."""
+    heads = checkpoint(cells.groupBy("print").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")))
+    # Many sets may have one fingerprint.
+    same = salted_join(cells.select("print", "fp"), heads.select("print", "head"), ["print"], hot_keys(heads, ["print"]))
+    near = simhash.links(heads.select(F.col("print").alias("fp")), heads.count(), BITS)
+    ends = [heads.select(F.col("print").alias(x), F.col("head").alias(f"head_{x}")) for x in "uv"]
+    near = near.join(ends[0], "u").join(ends[1], "v").select(F.col("head_u").alias("u"), F.col("head_v").alias("v"))
+    pairs = checkpoint(same.where("fp <> head").select(F.col("head").alias("u"), F.col("fp").alias("v")).union(near))
+    a, b = cells.alias("a"), cells.alias("b")
+    both = pairs.join(a, F.col("u") == F.col("a.fp")).join(b, F.col("v") == F.col("b.fp"))
+    return both.where(may_link("a", "b")).select("u", "v", differ("a", "b").alias("d"))
 
 
 def near_enough(pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """The pairs (u, v) without those whose fine parities differ too much.  fine: (fp, n, fine) for the sets that have them."""
+    """The pairs (u, v, d) without those whose fine parities differ too much; d is how much they do at least.  fine: (fp, n, fine) for the sets that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for nu, nv, fu, fv in zip(*(b.column(c).to_pylist() for c in ("nu", "nv", "fu", "fv")), strict=True):
-                keep.append(fu is None or fv is None or least_difference(fu, fv) * (OF + PART) <= (nu + nv) * (OF - PART))
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            least, keep = [], []
+            for d, nu, nv, fu, fv in zip(*(b.column(c).to_pylist() for c in ("d", "nu", "nv", "fu", "fv")), strict=True):
+                known = fu is not None and fv is not None
+                least.append(least_difference(fu, fv) if known else d)
+                keep.append(not known or least[-1] * (OF + PART) <= (nu + nv) * (OF - PART))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(least, pa.int64())], ["u", "v", "d"]).filter(pa.array(keep, pa.bool_()))
 
     one = fine.select(F.col("fp").alias("u"), F.col("n").alias("nu"), F.col("fine").alias("fu"))
     other = fine.select(F.col("fp").alias("v"), F.col("n").alias("nv"), F.col("fine").alias("fv"))
     both = pairs.join(one, "u", "left").join(other, "v", "left")
-    return both.select("u", "v", "nu", "nv", "fu", "fv").mapInArrow(run, "u bigint, v bigint")
+    return both.select("u", "v", "d", "nu", "nv", "fu", "fv").mapInArrow(run, "u bigint, v bigint, d bigint")
 
 
 def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -207,47 +247,44 @@ def verified(pairs: DataFrame, names: DataFrame, texts: DataFrame, words: int) -
 
 def links(own: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """own: what sets() gives.  Returns (v, root) for the sets of every component of more than one."""
-    # Keys that one set alone has are most of them and go first, with nothing else in their rows.
-    key = Window.partitionBy("key")
-    keyed = own.where("size(keys) > 0").select("fp", F.explode("keys").alias("key"))
-    keyed = keyed.withColumns({"a": F.min("fp").over(key), "b": F.max("fp").over(key)}).where("a <> b").select("key", "fp").distinct()
-    shared, drop_shared = stored(keyed)
-    cells = own.where("size(cells) > 0").select("fp", "n", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(CELLS)]).dropDuplicates(["fp"])
+    cells = own.where("size(cells) > 0").select("fp", "n", "print", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(CELLS)]).dropDuplicates(["fp"])
     cells = checkpoint(cells)
     fine = checkpoint(own.where("fine is not null").select("fp", "n", "fine").dropDuplicates(["fp"]))
-    keyed, drop_keyed = stored(shared.join(cells.select("fp", "n", *[f"c{i}" for i in range(FEW)]), "fp"))
+    names = checkpoint(own.groupBy("fp").agg(F.min("h").alias("h")))
+    found = verified(checkpoint(near_enough(by_prints(cells), fine).select("u", "v")), names, texts, words)
+    roots = checkpoint(components(found))
+    release(own.sparkSession)
+    # Keys that one set alone has are most of them and go first, with nothing else in their rows.  A key's name is
+    # then a hash of its sets, so that keys of the same sets are one; keys whose hashes agree by chance only get more sets.
+    key = Window.partitionBy("key")
+    keyed = own.where("size(keys) > 0").select("fp", F.posexplode("keys").alias("at", "key"))
+    keyed = keyed.withColumns({"a": F.min("fp").over(key), "b": F.max("fp").over(key)}).where("a <> b").select("key", "fp", "at").distinct()
+    keyed = keyed.withColumn("name", F.bit_xor(F.xxhash64("fp")).over(key)).groupBy(F.col("name").alias("key"), "fp").agg(F.min("at").alias("at"))
+    shared, drop_shared = stored(keyed)
+    before = F.collect_list("key").over(Window.partitionBy("fp").orderBy("at", "key").rowsBetween(-BEFORE, -1))
+    keyed, drop_keyed = stored(shared.withColumn("before", before).join(cells.drop("print"), "fp"))
     drop_shared()
     release(keyed.sparkSession)
-    names = checkpoint(own.groupBy("fp").agg(F.min("h").alias("h")))
-    found = keyed.sparkSession.createDataFrame([], "u bigint, v bigint")
-    roots = None
     for k in range(ROUNDS + 1):
-        placed, drop_placed = keyed.withColumn("root", F.col("fp")), None
-        if roots is not None:
-            placed = keyed.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-            placed, drop_placed = stored(placed.join(mixed, "key", "left_semi"))
+        placed = keyed.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        placed, drop_placed = stored(placed.join(mixed, "key", "left_semi"))
         a, b = placed.alias("a"), placed.alias("b")
-        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_link("a", "b", FEW)
+        apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") != F.col("b.root")) & may_start("a", "b") & may_link("a", "b")
         if k < ROUNDS:
             row = [c for c in placed.columns if c != "key"]
-            heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", F.lit(k)).alias("order"), *row)).alias("x"))
+            heads = placed.groupBy("key").agg(F.min(F.struct(F.xxhash64("fp", "key", F.lit(k)).alias("order"), *row)).alias("x"))
             a = heads.select("key", *[F.col(f"x.{c}").alias(c) for c in row]).alias("a")
         else:
-            apart &= F.col("a.fp") < F.col("b.fp")
-        pairs = a.join(b, apart).select(F.least("a.fp", "b.fp").alias("u"), F.greatest("a.fp", "b.fp").alias("v")).distinct()
-        pairs, drop_pairs = stored(pairs)
-        if drop_placed:
-            drop_placed()
-        # The rest of the cells, for each pair once.
-        both = pairs.join(cells.select(*[F.col(c).alias(f"a_{c}") for c in cells.columns]), F.col("u") == F.col("a_fp")).join(cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns]), F.col("v") == F.col("b_fp"))
-        side = lambda x: F.struct(*[F.col(f"{x}_{c}").alias(c) for c in cells.columns]).alias(x)
-        pairs = both.select("u", "v", side("a"), side("b")).where(may_link("a", "b")).select("u", "v")
-        pairs = near_enough(pairs, fine)
+            # A key before this one in both sets brings the pair too, and starts no later in either.
+            apart &= (F.col("a.fp") < F.col("b.fp")) & ~F.arrays_overlap("a.before", "b.before")
+        pairs, drop_pairs = stored(a.join(b, apart).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), differ("a", "b").alias("d")).distinct())
+        drop_placed()
+        near = near_enough(pairs, fine)
         if k < ROUNDS:
             # Two partners of each set are enough here; the last round compares all that these leave apart.
-            pairs = pairs.groupBy("v").agg(F.array_distinct(F.array(F.min("u"), F.max("u"))).alias("us")).select(F.explode("us").alias("u"), "v")
-        found = checkpoint(found.union(verified(checkpoint(pairs), names, texts, words)))
+            near = near.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where("at <= 2")
+        found = checkpoint(found.union(verified(checkpoint(near.select("u", "v")), names, texts, words)))
         roots = checkpoint(components(found))
         drop_pairs()
         release(roots.sparkSession)

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quiver.llm import near_copies
+from quiver.llm import near_copies, simhash
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -102,3 +102,26 @@ def test_long_near_copies_are_found_and_long_texts_with_a_shared_part_are_not(sp
     rows = [(i, " ".join(t)) for i, t in enumerate([base, near, longer, part])]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert Counter(map(tuple, near_copies.near_copies(docs).collect())) == brute(rows) == Counter([(0, 0), (1, 0), (2, 0), (3, 3)])
+
+
+def test_simhash_links_first_and_a_large_group_gives_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice(WORDS) for _ in range(140)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 150):
+        w = list(base)
+        for k in rng.sample(range(140), rng.choice([1, 2, 2, 3])):
+            w[k] = f"new{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, f"{t} end" if i % 2 else t.upper()) for i, (_, t) in enumerate(rows[:20])]
+    steps, links, verified = [], simhash.links, near_copies.verified
+
+    def counted(pairs, *more):
+        steps.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(simhash, "links", lambda *a: steps.append("simhash") or links(*a))
+    monkeypatch.setattr(near_copies, "verified", counted)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert Counter(map(tuple, found.collect())) == brute(rows)
+    assert steps[0] == "simhash" and steps[1] > 0 and sum(steps[1:]) <= 5 * len(rows)
