@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiver.llm import decontamination, mixing, near_copies, sharding, toxicity
-from quiver.llm.common import checkpoint, shared_folder, small_join, table
+from quiver.llm.common import checkpoint, release, shared_folder, small_join, table
 from quiver.llm.queries import EPOCHS, SEED, WEIGHTS, tokens, tree
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,6 +32,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts of similarity 0.8 and more (5-word shingles): the one whose id names it.
 
+    SimHash links, held to the similarity, come first; prefix filtering finds the pairs beyond the fingerprints' bits.
+
     Rows that share an id but not a text are documents of their own; of repeated rows one stays.  Null and
     empty texts are copies of each other.  Rows without an id can't be named and all stay.
     """
@@ -89,6 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             remove(spark, before)
         before = f"{folder}/{name}"
         docs = spark.read.parquet(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
