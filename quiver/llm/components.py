@@ -6,10 +6,12 @@ of a vertex with many neighbours is a minimum (combined before the shuffle) and
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiver.llm.common import checkpoint
+from quiver.llm.common import BROADCAST_BYTES, checkpoint
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -35,3 +37,32 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return stars.select(F.col("u").alias("v"), F.col("v").alias("root")).union(stars.select(F.col("v"), F.col("v").alias("root")).distinct())
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of the edges, sorted, and the least vertex of the component of each."""
+    names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for a, b in zip(ends[: len(u)].tolist(), ends[len(u) :].tolist(), strict=True):
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return names, names[[find(i) for i in range(len(names))]]
+
+
+def components_by_size(edges: DataFrame) -> DataFrame:
+    """components() of edges that are stored: up to BROADCAST_BYTES of them are settled in the driver.
+
+    A step there is a dozen shuffles, each of as many tasks as there are partitions, however few the edges.
+    """
+    if 16 * edges.count() > BROADCAST_BYTES:
+        return components(edges)
+    found = edges.where("u <> v").select("u", "v").toArrow()
+    v, root = least_reached(*(found.column(c).to_numpy().astype(np.int64) for c in "uv"))
+    rows = pa.table({"v": pa.array(v, pa.int64()), "root": pa.array(root, pa.int64())})
+    return edges.sparkSession.createDataFrame(rows, "v bigint, root bigint")

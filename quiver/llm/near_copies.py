@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quiver.llm import simhash
 from quiver.llm.common import checkpoint, hot_keys, release, salted_join, small_batches, small_join, stored
-from quiver.llm.components import components
+from quiver.llm.components import components_by_size
 from quiver.llm.decontamination import windows
 
 WORDS = 5
@@ -252,7 +252,7 @@ def links(own: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     fine = checkpoint(own.where("fine is not null").select("fp", "n", "fine").dropDuplicates(["fp"]))
     names = checkpoint(own.groupBy("fp").agg(F.min("h").alias("h")))
     found = verified(checkpoint(near_enough(by_prints(cells), fine).select("u", "v")), names, texts, words)
-    roots = checkpoint(components(found))
+    roots = checkpoint(components_by_size(found))
     release(own.sparkSession)
     # Keys that one set alone has are most of them and go first, with nothing else in their rows.  A key's name is
     # then a hash of its sets, so that keys of the same sets are one; keys whose hashes agree by chance only get more sets.
@@ -285,7 +285,7 @@ def links(own: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             # Two partners of each set are enough here; the last round compares all that these leave apart.
             near = near.withColumn("at", F.row_number().over(Window.partitionBy("v").orderBy("d", "u"))).where("at <= 2")
         found = checkpoint(found.union(verified(checkpoint(near.select("u", "v")), names, texts, words)))
-        roots = checkpoint(components(found))
+        roots = checkpoint(components_by_size(found))
         drop_pairs()
         release(roots.sparkSession)
     drop_keyed()

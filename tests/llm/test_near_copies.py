@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quiver.llm import near_copies, simhash
+from quiver.llm import components, near_copies, simhash
 
 WORDS = [f"w{i}" for i in range(300)]
 
@@ -125,3 +125,37 @@ def test_simhash_links_first_and_a_large_group_gives_few_pairs(spark, monkeypatc
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
     assert Counter(map(tuple, found.collect())) == brute(rows)
     assert steps[0] == "simhash" and steps[1] > 0 and sum(steps[1:]) <= 5 * len(rows)
+
+
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_components_are_the_same_in_the_driver_and_in_steps(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "BROADCAST_BYTES", limit)
+    rng = random.Random(2)
+    edges = [(i + 1, i) for i in range(100, 140)] + [(-(1 << 63), (1 << 63) - 1), (7, 7), (5, -5), (5, -5), (-5, 5)]
+    edges += [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)]
+    reached = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and reached[a] is not reached[b]:
+            reached[a] |= reached[b]
+            for x in reached[b]:
+                reached[x] = reached[a]
+    rng.shuffle(edges)
+    found = components.components_by_size(spark.createDataFrame(edges, "u bigint, v bigint").repartition(3))
+    assert sorted(map(tuple, found.collect())) == sorted((x, min(of)) for x, of in reached.items())
+    assert components.components_by_size(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_few_links_take_few_tasks(spark):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    context, group = spark.sparkContext, "few-links"
+    context.setJobGroup(group, group)
+    try:
+        assert Counter(map(tuple, near_copies.near_copies(docs).collect())) == brute(rows)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    tasks = sum(s.numCompletedTasks for s in stages if s)
+    assert 0 < tasks < 384
