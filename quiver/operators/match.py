@@ -46,7 +46,7 @@ class Matcher:
                 if getattr(part, "var", None) in scope.vars:
                     scope = as_entity(scope, part.var)  # type: ignore[attr-defined]
         while left:
-            near = next((p for p in left if any(n.var in scope.vars for n in p.nodes if n.var)), left[0])
+            near = next((p for p in left if any(x.var in scope.vars for x in (*p.nodes, *p.rels) if x.var)), left[0])
             left.remove(near)
             scope = self.path(scope, near)
         scope = self.apply(scope, final=True)
@@ -67,11 +67,16 @@ class Matcher:
     def path(self, scope: Scope, p: Path) -> Scope:
         keep = p.var is not None
         nodes, rels = p.nodes, p.rels
-        start = next((i for i, n in enumerate(nodes) if n.var and n.var in scope.vars), 0)
+        start = next((i for i, n in enumerate(nodes) if n.var and n.var in scope.vars), None)
+        known = None if start is not None else next((i for i, r in enumerate(rels) if self.has_ends(scope, r)), None)
+        start = start or known or 0
         ids: dict[int, str] = {}
         structs: dict[int, str] = {}
         hops: dict[int, tuple[str, str | None]] = {}  # rel number -> (column of relationship structs, column of inner node structs)
-        scope, ids[start], structs[start] = self.first(scope, nodes[start], rels, start, keep)
+        if known is None:
+            scope, ids[start], structs[start] = self.first(scope, nodes[start], rels, start, keep)
+        else:
+            scope, ids[start], structs[start] = self.end_of(scope, nodes[start], rels[start], keep)
         scope = self.apply(scope)
         for i in range(start, len(rels)):
             scope, ids[i + 1], structs[i + 1], hops[i] = self.hop(scope, ids[i], rels[i], nodes[i + 1], False, keep, nodes[i])
@@ -130,6 +135,30 @@ class Matcher:
         out = self.inline(out, b, n.props)
         return self.struct(out, b, keep)
 
+    def has_ends(self, scope: Scope, r: RelPattern) -> bool:
+        """Whether bound relationships tell where the pattern begins."""
+        b = scope.vars.get(r.var) if r.var else None
+        return b is not None and (isinstance(b.val().type, T.ArrayType) if r.varlen else b.kind == "relationship")
+
+    def end_of(self, scope: Scope, n: NodePattern, r: RelPattern, keep: bool) -> tuple[Scope, str, str]:
+        """Bind the node before bound relationships by the first of them; only empty lists meet every node."""
+        at = fresh(f"{n.var or 'n'}@_id")
+        among = self.graph.ends(r.types, r.direction > 0) if r.direction else None
+        own = scope.vars[r.var].val()  # type: ignore[index]
+        df = scope.df
+        if r.varlen and isinstance(own.type.elementType, T.LongType):  # type: ignore[attr-defined]
+            key = fresh("_id")
+            df = df.join(self.edges(r, False).select(col("_id").alias(key), col("_from").alias(at)), F.try_element_at(own.col, F.lit(1)) == col(key), "inner").drop(key)
+        else:
+            one = F.try_element_at(own.col, F.lit(1)) if r.varlen else own.col
+            ends = [one["_src"]] * (r.direction >= 0) + [one["_dst"]] * (r.direction <= 0)
+            df = df.withColumn(at, F.explode(F.array_distinct(F.array(*ends))))
+        if r.varlen and not r.low:
+            among = None
+            rest = scope.df.where(F.size(own.col) == 0).crossJoin(self.graph.scan_nodes(n.labels).select(col("_id").alias(at)))
+            df = df.union(rest.select(*[col(c) for c in df.columns]))
+        return self.arrive(replace(scope, df=df), at, n, among, keep, False)
+
     def rebound(self, scope: Scope, n: NodePattern, keep: bool) -> tuple[Scope, str, str]:
         b = scope.vars[n.var]  # type: ignore[index]
         if b.kind != "node":
@@ -268,12 +297,18 @@ class Matcher:
         here, ids, rels, mids = fresh("at"), fresh("ids"), fresh("rels"), fresh("mids")
         level = scope.df.withColumns({here: col(at), ids: F.array().cast("array<bigint>"), rels: F.array().cast(T.ArrayType(rel_t)) if list_wanted else F.lit(None).cast("string"), mids: F.array().cast(T.ArrayType(node_t)) if keep else F.lit(None).cast("string")})
         kept = level.columns
+        listed = None
+        if r.var and r.var in scope.vars:
+            old = scope.vars[r.var].val()
+            listed = old.col if isinstance(old.type.elementType, T.LongType) else F.transform(old.col, lambda x: x["_id"])  # type: ignore[attr-defined]
 
-        def step(walks: DataFrame, stay: Column | None) -> DataFrame:
-            """The walks with one more edge, and beside them those that stay."""
+        def step(walks: DataFrame, stay: Column | None, depth: int) -> DataFrame:
+            """The walks with one more edge, and beside them those that stay; a bound list names the edge."""
             named = {c: fresh(c) for c in edges.columns}
             e = edges.select(*[col(c).alias(x) for c, x in named.items()])
             on = (col(here) == col(named["_from"])) & ~F.array_contains(col(ids), col(named["_id"]))
+            if listed is not None:
+                on = on & (F.try_element_at(listed, F.lit(-depth if backwards else depth)) == col(named["_id"]))
             goes = fresh("goes")
             if stay is None:
                 out = walks.join(e, on)
@@ -300,18 +335,18 @@ class Matcher:
         if high is not None and high <= UNROLL:
             for depth in range(1, last + 1):
                 goes_on = F.when(F.size(col(ids)) == depth - 1, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-                level = step(level, goes_on if depth > low else None)
+                level = step(level, goes_on if depth > low else None, depth)
             df = level if last >= low else level.where(F.lit(False))
         else:
             out = [level] if low == 0 else []
             for depth in range(1, last + 1):
-                level = self.checkpoint(step(level, None))
+                level = self.checkpoint(step(level, None, depth))
                 if level.isEmpty():
                     break
                 if depth >= low:
                     out.append(level)
             else:
-                if high is None and not step(level, None).isEmpty():
+                if high is None and not step(level, None, last + 1).isEmpty():
                     self.warnings.append(f"WALK_CAP_REACHED: walks of over {self.cap} edges are left out")
             df = out[0] if out else level.where(F.lit(False))
             for more in out[1:]:
@@ -323,10 +358,8 @@ class Matcher:
             df = df.where(~F.arrays_overlap(col(self_ids), col(c)) | (F.size(col(c)) == 0) | (F.size(col(self_ids)) == 0))
         self.many.append(self_ids)
         vars_ = dict(scope.vars)
-        if r.var and r.var in scope.vars:
-            old = scope.vars[r.var].val()
-            bare = isinstance(old.type.elementType, T.LongType)  # type: ignore[attr-defined]
-            df = df.where((old.col if bare else F.transform(old.col, lambda x: x["_id"])) == F.transform(col(rels), lambda x: x["_id"]))
+        if listed is not None:
+            df = df.where(listed == F.transform(col(rels), lambda x: x["_id"]))
         elif r.var and list_wanted:
             vars_[r.var] = Binding("value", {"": (rels, T.ArrayType(rel_t))})
         elif r.var:

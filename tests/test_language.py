@@ -297,3 +297,29 @@ def test_explain_cost(spark):
     assert {"MISSING_PROPERTY_INDEX", "ESTIMATE_ONLY_INDEX_SIGNAL"} <= set(plan["warnings"])
     assert "OPERATOR_MIXED_DOMAIN_RISK" in json.loads(rows(e, "EXPLAIN RETURN [1, 'a'] AS l")[0][0])["warnings"]
     assert "WRITE_QUERY_DRY_RUN" not in e.run("CREATE (:P)").warnings
+
+
+def test_bound_relationships_lead(spark):
+    """A pattern whose relationships are bound begins at them: no product with all nodes."""
+    e = empty(spark)
+    e.run("CREATE (a:P {k: 1})-[:T {w: 1}]->(b:P {k: 2})-[:T {w: 2}]->(c:Q {k: 3})-[:T {w: 3}]->(a), (c)-[:T {w: 4}]->(c), (d:P {k: 4})-[:U {w: 5}]->(a)")
+    walks = "MATCH (a:P)-[rs:T*2..2]->(b) "
+    cases = {
+        walks + "MATCH (c)-[rs:T*2..2]->(d) RETURN a.k, b.k, c.k, d.k": [(1, 3, 1, 3), (2, 1, 2, 1), (2, 3, 2, 3)],
+        walks + "MATCH (c)-[rs:T*]->(d) RETURN c.k, d.k": [(1, 3), (2, 1), (2, 3)],
+        walks + "MATCH (c)-[rs:T*0..3]->(d:Q) RETURN c.k, d.k": [(1, 3), (2, 3)],
+        walks + "MATCH (c)<-[rs:T*2..2]-(d) RETURN c.k, d.k": [],
+        walks + "MATCH (c)-[rs:T*2..2]-(d) RETURN c.k, d.k": [(1, 3), (2, 1), (2, 3)],
+        walks + "MATCH q = (c)-[rs:T*2..2]->(d) RETURN [x IN nodes(q) | x.k], size(rs)": [([1, 2, 3], 2), ([2, 3, 1], 2), ([2, 3, 3], 2)],
+        walks + "MATCH (z)-[s]->(c)-[rs:T*2..2]->(d) WHERE z.k = 4 RETURN z.k, c.k, d.k": [(4, 1, 3)],
+        "MATCH (d:P {k: 4}) MATCH (a:P {k: 1})-[rs:T*0..1]->(b) MATCH (c)-[rs:T*0..1]->(e) RETURN b.k, c.k, e.k": [(1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 4, 4), (2, 1, 2)],
+        "MATCH (a:P)-[rs:T*1..1]-(b:Q) WITH rs, a MATCH (c)-[rs:T*1..1]-(d) RETURN a.k, c.k, d.k": [(1, 1, 3), (1, 3, 1), (2, 2, 3), (2, 3, 2)],
+        "MATCH (a:P)-[r:T]->(b) MATCH (c:P)-[r:T]->(d) RETURN a.k, c.k, d.k": [(1, 1, 2), (2, 2, 3)],
+        "MATCH (a:Q)-[r:T]->(b:Q) MATCH (c)-[r]-(d) RETURN c.k, d.k": [(3, 3)],
+        "MATCH (a:P {k: 1})-[r:T]->(b) MATCH (c)-[r]-(d)-[s]->(f) RETURN c.k, d.k, f.k": [(1, 2, 3)],
+    }
+    found = {text: sorted(rows(e, text)) for text in cases}
+    assert found == cases
+    for text in list(cases)[:2] + list(cases)[9:]:
+        plan = e.run(text).df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join Cross" not in plan and not [x for x in plan.splitlines() if "Join Inner" in x and " = " not in x], text
