@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field, replace
 from functools import reduce as fold
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,9 @@ from quiver.plans.values import LONG, STRING, Val, cast, unify
 
 NODE_FIELDS, EDGE_FIELDS = ("_id", "_labels"), ("_id", "_type", "_src", "_dst")
 LABELS = T.ArrayType(STRING)
+#: A pattern's labels of a node, and labels that it is known to have.
+End = tuple[Labels | None, frozenset[str] | None]
+_ROWS: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
 def col(name: str) -> Column:
@@ -63,6 +67,15 @@ def numbered(key: Column, base: int) -> Column:
     return key.cast("bigint") + F.lit(base)
 
 
+def row_count(df: DataFrame) -> int | None:
+    """Rows of a table that is one scan, counted once (Parquet tells them without reading); None for others."""
+    if df not in _ROWS:
+        if df._jdf.queryExecution().analyzed().collectLeaves().size() != 1:
+            return None
+        _ROWS[df] = df.count()
+    return _ROWS[df]
+
+
 def union(frames: list[DataFrame], spark: SparkSession, fixed: tuple[str, ...]) -> DataFrame:
     """All rows; a column of several types gets the type that holds them, a missing one is null."""
     if not frames:
@@ -154,12 +167,17 @@ class PropertyGraph:
         wanted = {t.upper() for t in types}
         return [t for t in self.edges if not wanted or t.type.upper() in wanted]
 
-    def scan_edges(self, types: tuple[str, ...] = ()) -> DataFrame:
-        return union([t.df for t in self.edge_tables(types)], self.spark, EDGE_FIELDS)
+    def joins(self, t: EdgeTable, src: End, dst: End) -> bool:
+        """Whether edges of the table may lead from such a node to such a node."""
+        return all(self.node_tables(labels, (ends or frozenset()) | (known or frozenset())) for ends, (labels, known) in ((t.src, src), (t.dst, dst)))
+
+    def scan_edges(self, types: tuple[str, ...] = (), without: tuple[EdgeTable, ...] = ()) -> DataFrame:
+        """Edges of the types; of tables to leave out only the columns."""
+        return union([t.df.where(F.lit(False)) if any(t is x for x in without) else t.df for t in self.edge_tables(types)], self.spark, EDGE_FIELDS)
 
-    def ends(self, types: tuple[str, ...], outgoing: bool) -> frozenset[str] | None:
+    def ends(self, types: tuple[str, ...], outgoing: bool, without: tuple[EdgeTable, ...] = ()) -> frozenset[str] | None:
         """Labels that every source (or target) of these types has, if there is one table's worth of them."""
-        found = {t.src if outgoing else t.dst for t in self.edge_tables(types)}
+        found = {t.src if outgoing else t.dst for t in self.edge_tables(types) if not any(t is x for x in without)}
         return found.pop() if len(found) == 1 else None
 
     # -- statistics

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quiver.graph import PropertyGraph, col, label_test, label_verdict
+from quiver.graph import EdgeTable, PropertyGraph, col, label_test, label_verdict, row_count
 from quiver.plans.ast import CypherError, Labels, MapLit, Node, NodePattern, Param, Path, Prop, RelPattern, Var
 from quiver.plans.expressions import SUBQUERIES, Compiler, conjuncts, free
 from quiver.plans.scope import Binding, Scope, as_entity, bind_frame, fresh
@@ -22,6 +22,8 @@ from quiver.plans.values import LONG, Val, equal, kind, unify
 
 #: Hops up to which a variable length is unrolled into joins; beyond, each hop is checkpointed.
 UNROLL = 8
+#: Edges of an average node from which on a hop from it back over such edges multiplies rows, and such rows in a task.
+HUB, PAIRS = 256, 4_000_000
 
 
 class Matcher:
@@ -79,7 +81,8 @@ class Matcher:
             scope, ids[start], structs[start] = self.end_of(scope, nodes[start], rels[start], keep)
         scope = self.apply(scope)
         for i in range(start, len(rels)):
-            scope, ids[i + 1], structs[i + 1], hops[i] = self.hop(scope, ids[i], rels[i], nodes[i + 1], False, keep, nodes[i])
+            pairs = self.pairs(nodes[i - 1 : i + 2], rels[i - 1 : i + 1]) if i > start and known is None and not any(x.props for x in (*nodes[: i + 1], *rels[:i])) else (0, 0)
+            scope, ids[i + 1], structs[i + 1], hops[i] = self.hop(scope, ids[i], rels[i], nodes[i + 1], False, keep, nodes[i], pairs)
             scope = self.apply(scope)
         for i in range(start - 1, -1, -1):
             scope, ids[i], structs[i], hops[i] = self.hop(scope, ids[i + 1], rels[i], nodes[i], True, keep, nodes[i + 1])
@@ -197,9 +200,33 @@ class Matcher:
 
     # -- hops
 
-    def edges(self, r: RelPattern, backwards: bool) -> DataFrame:
+    def unfit(self, scope: Scope, r: RelPattern, before: NodePattern, after: NodePattern) -> tuple[EdgeTable, ...]:
+        """Edge tables of a directed pattern (before)-[r]->(after) that can't join such nodes."""
+        if not r.direction or r.varlen:
+            return ()
+        a, z = ((n.labels, scope.vars[n.var].labels if n.var in scope.vars and scope.vars[n.var].kind == "node" else None) for n in (before, after))
+        return tuple(t for t in self.graph.edge_tables(r.types) if not self.graph.joins(t, *((a, z) if r.direction > 0 else (z, a))))
+
+    def pairs(self, nodes: tuple[NodePattern, ...], rels: tuple[RelPattern, ...]) -> tuple[int, int]:
+        """Rows of (a)-[]->(hub)<-[]-(b), or the other way, and hubs, from the tables' sizes; 0 if a hub has few edges or sizes aren't known."""
+        r, s = rels
+        if r.varlen or s.varlen or not r.direction or r.direction != -s.direction:
+            return 0, 0
+        counts = []
+        for x, (a, z) in ((r, nodes[:2]), (s, nodes[1:])):
+            without = self.unfit(Scope(None, {}), x, a, z)  # type: ignore[arg-type]
+            counts.append([row_count(t.df) for t in self.graph.edge_tables(x.types) if not any(t is w for w in without)])
+            among = self.graph.ends(x.types, (x.direction > 0) is (x is s), without)
+        if None in counts[0] + counts[1]:
+            return 0, 0
+        hubs = [row_count(t.df) for t, _ in self.graph.node_tables(nodes[1].labels, among)]
+        if None in hubs or not sum(hubs) or sum(counts[1]) < HUB * sum(hubs):
+            return 0, 0
+        return sum(counts[0]) * sum(counts[1]) // sum(hubs), sum(hubs)
+
+    def edges(self, r: RelPattern, backwards: bool, without: tuple[EdgeTable, ...] = ()) -> DataFrame:
         """Edges with _from and _to as the hop walks them; undirected ones both ways, loops once."""
-        e = self.graph.scan_edges(r.types)
+        e = self.graph.scan_edges(r.types, without)
         out = e.withColumns({"_from": col("_src"), "_to": col("_dst")})
         back = e.withColumns({"_from": col("_dst"), "_to": col("_src")})
         direction = -r.direction if backwards else r.direction
@@ -207,10 +234,12 @@ class Matcher:
             return out.union(back.where(col("_src") != col("_dst")))
         return out if direction > 0 else back
 
-    def hop(self, scope: Scope, at: str, r: RelPattern, n: NodePattern, backwards: bool, keep: bool, came: NodePattern) -> tuple[Scope, str, str, tuple[str, str | None]]:
+    def hop(self, scope: Scope, at: str, r: RelPattern, n: NodePattern, backwards: bool, keep: bool, came: NodePattern, pairs: tuple[int, int] = (0, 0)) -> tuple[Scope, str, str, tuple[str, str | None]]:
+        """One edge further; pairs: rows to come of it, if by far more than there were, and nodes that they meet in."""
         if r.varlen:
             return self.walk(scope, at, r, n, backwards, keep)
-        frame, b = bind_frame(self.edges(r, backwards), r.var or "r", "relationship")
+        unfit = self.unfit(scope, r, *((n, came) if backwards else (came, n)))
+        frame, b = bind_frame(self.edges(r, backwards, unfit), r.var or "r", "relationship")
         start, to = b.fields["_from"][0], b.fields["_to"][0]
         own = Binding("relationship", {k: v for k, v in b.fields.items() if k not in ("_from", "_to")})
         tests: list[Column] = []
@@ -235,6 +264,22 @@ class Matcher:
         types = frozenset(t.type for t in self.graph.edge_tables(r.types))
         tests += [col(c) != col(own.key) for c, ts in self.single if ts & types]
         tests += [~F.array_contains(col(c), col(own.key)) for c in self.many]
+        direction = -r.direction if backwards else r.direction
+        among = self.graph.ends(r.types, direction < 0, unfit) if direction else None
+        if not direction:
+            a, z = self.graph.ends(r.types, True), self.graph.ends(r.types, False)
+            among = a if a == z else None
+        early = None
+        if pairs[0] > PAIRS and not bound and n.props is None:
+            # Rows multiply here: the far node joins the edges before, and each hub's rows are dealt over many tasks.
+            far, here, shape = self.arrive(Scope(frame), to, n, among, keep, False)
+            early, frame = (far.vars, here, shape), far.df
+            parts, salt, other = -(-pairs[0] // PAIRS), fresh("salt"), fresh("salt")
+            salts = -(-parts // pairs[1])
+            left = scope.df.withColumn(salt, F.pmod(F.xxhash64(*[col(c) for c, _ in self.single]), F.lit(salts)))
+            scope = replace(scope, df=left.repartition(parts, col(at), col(salt)))
+            frame = frame.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))).repartition(parts, col(start), col(other)).hint("merge")
+            tests.insert(1, col(salt) == col(other))
         test = None
         for t in tests:
             test = t if test is None else test & t
@@ -248,12 +293,11 @@ class Matcher:
         if keep:
             rel = fresh("rel")
             scope = replace(scope, df=scope.df.withColumn(rel, own.val().col))
-        direction = -r.direction if backwards else r.direction
-        among = self.graph.ends(r.types, direction < 0) if direction else None
-        if not direction:
-            a, z = self.graph.ends(r.types, True), self.graph.ends(r.types, False)
-            among = a if a == z else None
-        scope, here, shape = self.arrive(scope, to, n, among, keep, bound)
+        if early is None:
+            scope, here, shape = self.arrive(scope, to, n, among, keep, bound)
+        else:
+            vars_, here, shape = early
+            scope = replace(scope, vars={**scope.vars, **vars_})
         return scope, here, shape, (rel, None)
 
     def arrive(self, scope: Scope, to: str, n: NodePattern, among: frozenset[str] | None, keep: bool, bound: bool) -> tuple[Scope, str, str]:

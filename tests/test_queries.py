@@ -39,3 +39,27 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_hub_hops(spark, con, monkeypatch):
+    """Rows that multiply at a hub: tables that can't join aren't read, and each hub's rows go to many tasks."""
+    from quiver.engine import Engine
+    from quiver.operators import match
+
+    df = queries.run(spark, FOLDER, "suggested_friends")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "customer.parquet" not in plan and "supplier.parquet" in plan
+    monkeypatch.setattr(match, "HUB", 2)
+    monkeypatch.setattr(match, "PAIRS", 50)
+    cases = {
+        "MATCH (a:Customer)-[r:LOCATED_IN]->(n)<-[:LOCATED_IN]-(b:Customer) WHERE a.c_acctbal < b.c_acctbal RETURN n.n_name AS n, a.c_custkey AS a, b.c_custkey AS b, r.c_nationkey AS k":
+            "select n_name as n, a.c_custkey as a, b.c_custkey as b, n_nationkey as k from customer a join customer b on a.c_nationkey = b.c_nationkey and a.c_acctbal < b.c_acctbal join nation on n_nationkey = a.c_nationkey",
+        "MATCH p = (a:Customer)-[:LOCATED_IN]->(n)<-[:LOCATED_IN]-(b) RETURN [x IN nodes(p) | labels(x)[0]] AS l, count(*) AS n":
+            "select ['Customer', 'Nation', x.l] as l, count(*) as n from customer a join (select 'Customer' as l, c_custkey as k, c_nationkey as j from customer union all select 'Supplier', s_suppkey, s_nationkey from supplier) x on j = c_nationkey and not (x.l = 'Customer' and x.k = c_custkey) group by 1",
+        "MATCH (a)-[:LOCATED_IN]->(n:Nation)<-[:LOCATED_IN]-(b:Supplier {s_suppkey: 3}) RETURN labels(a)[0] AS l, count(*) AS n":
+            "select l, count(*) as n from (select 'Customer' as l, c_custkey as k, c_nationkey as j from customer union all select 'Supplier', s_suppkey, s_nationkey from supplier where s_suppkey <> 3) join supplier on s_suppkey = 3 and s_nationkey = j group by 1",
+    }
+    for text, sql in cases.items():
+        df, found = Engine(queries.graph_of(spark, FOLDER)).run(text).df, con.sql(sql)
+        assert bag(df.columns, df.collect()) == bag(found.columns, found.fetchall()), text
+        assert ("REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()) is ("{" not in text)
