@@ -24,6 +24,10 @@ from quiver.plans.values import BOOL, Val, cast, identity, kind, mixed, null_of,
 
 #: Edges of a walk without upper bound, at most.
 WALK_CAP = 64
+#: Bytes of files from which on a query's shuffles are dealt finely; of them to a shuffle partition, and of shuffled bytes to a task.
+LARGE, INPUT_BYTES, SHUFFLE_BYTES = 32 << 20, 2 << 20, 8 << 20
+#: Settings made by dealt(), by session and name; only these are changed again.
+_SET: dict[tuple[str, int, str], str] = {}
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -37,6 +41,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Large inputs in more and smaller shuffle partitions, so that a task's memory doesn't grow with them; finer settings of the session stay."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(x.stats().sizeInBytes()) for x in found if x.getClass().getSimpleName() == "LogicalRelation")
+    number, target = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    key = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
+    for name, value, usual in ((number, -(-size // INPUT_BYTES), spark.conf.get("spark.sql.shuffle.partitions")), (target, SHUFFLE_BYTES, None)):
+        if spark.conf.get(name, None) not in (None, "64MB", "67108864b", _SET.get((*key, name))):
+            continue
+        if size >= LARGE and (usual is None or value > int(usual)):
+            _SET[*key, name] = str(value)
+            spark.conf.set(name, value)
+        elif _SET.pop((*key, name), None):
+            spark.conf.unset(name)
+    return df
+
+
 @dataclass
 class Planner:
     graph: PropertyGraph
@@ -63,7 +86,7 @@ class Planner:
             df = union(df, more)
         if q.all and not q.all[0]:
             df = distinct(df, [(f.name, f.dataType) for f in df.schema.fields])
-        return df, names
+        return dealt(df), names
 
     def single(self, clauses: tuple[Clause, ...], scope: Scope) -> tuple[DataFrame, list[str]]:
         self.used = field_readers(clauses)

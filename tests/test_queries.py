@@ -63,3 +63,20 @@ def test_hub_hops(spark, con, monkeypatch):
         df, found = Engine(queries.graph_of(spark, FOLDER)).run(text).df, con.sql(sql)
         assert bag(df.columns, df.collect()) == bag(found.columns, found.fetchall()), text
         assert ("REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()) is ("{" not in text)
+
+
+def test_large_inputs_are_dealt_finely(spark, monkeypatch):
+    """Shuffles get partitions by the size of the files; the session's own setting comes back."""
+    from quiver.plans import planner
+
+    name = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    small = bag(["o", "p", "n"], queries.run(spark, FOLDER, "pair_multiplicity").collect())
+    monkeypatch.setattr(planner, "LARGE", 1)
+    monkeypatch.setattr(planner, "INPUT_BYTES", 10_000)
+    df = queries.run(spark, FOLDER, "pair_multiplicity")
+    n = int(spark.conf.get(name))
+    assert n > 4 and f"{n}), ENSURE_REQUIREMENTS" in df._jdf.queryExecution().executedPlan().toString()
+    assert bag(["o", "p", "n"], df.collect()) == small
+    monkeypatch.undo()
+    queries.run(spark, FOLDER, "pair_multiplicity")
+    assert spark.conf.get(name, None) is None
