@@ -26,6 +26,10 @@ UNROLL = 8
 HUB, PAIRS = 256, 4_000_000
 
 
+#: Properties that a query reads of a path's nodes and of its relationships; None: all.
+Reads = tuple[frozenset[str] | None, frozenset[str] | None]
+
+
 class Matcher:
     """Matches the paths of one clause."""
 
@@ -36,6 +40,8 @@ class Matcher:
         self.single: list[tuple[str, frozenset[str]]] = []  # edge id columns and their types
         self.many: list[str] = []  # columns of edge id lists
         self.pending: list[Node] = []
+        self.reads: dict[str, Reads] = {}
+        self.kept: Reads = (None, None)  # of the path at hand
 
     def run(self, scope: Scope, paths: tuple[Path, ...], where: Node | None) -> Scope:
         """All extensions of the scope's rows.  Conjuncts with subqueries stay in self.pending."""
@@ -68,6 +74,7 @@ class Matcher:
 
     def path(self, scope: Scope, p: Path) -> Scope:
         keep = p.var is not None
+        self.kept = self.reads.get(p.var, (None, None)) if keep else (None, None)  # type: ignore[arg-type]
         nodes, rels = p.nodes, p.rels
         start = next((i for i, n in enumerate(nodes) if n.var and n.var in scope.vars), None)
         known = None if start is not None else next((i for i, r in enumerate(rels) if self.has_ends(scope, r)), None)
@@ -175,7 +182,7 @@ class Matcher:
         if not keep:
             return scope, b.key, b.key
         name = fresh("node")
-        return replace(scope, df=scope.df.withColumn(name, b.val().col), unit=False), b.key, name
+        return replace(scope, df=scope.df.withColumn(name, trimmed(b, self.kept[0]).col), unit=False), b.key, name
 
     def inline(self, scope: Scope, b: Binding, props: Node | None) -> Scope:
         """Keep rows whose fields equal the pattern's property map."""
@@ -292,7 +299,7 @@ class Matcher:
         rel = own.key
         if keep:
             rel = fresh("rel")
-            scope = replace(scope, df=scope.df.withColumn(rel, own.val().col))
+            scope = replace(scope, df=scope.df.withColumn(rel, trimmed(own, self.kept[1]).col))
         if early is None:
             scope, here, shape = self.arrive(scope, to, n, among, keep, bound)
         else:
@@ -331,12 +338,16 @@ class Matcher:
         list_wanted = keep or (r.var is not None and r.var in self.used) or (r.var is not None and r.var in scope.vars)
         if not list_wanted:
             edges = edges.select("_id", "_from", "_to")
+        if self.kept[1] is not None and not (r.var is not None and (r.var in self.used or r.var in scope.vars)):
+            fields = [f for f in fields if f.startswith("_") or f in self.kept[1]]
         rel_t = T.StructType([edges.schema[f] for f in fields if f in edges.columns])
         direction = -r.direction if backwards else r.direction
         reached = self.graph.ends(r.types, direction < 0)
         if not direction and reached != self.graph.ends(r.types, True):
             reached = None
         node_frame = self.graph.scan_nodes(None, reached) if keep else None
+        if node_frame is not None and self.kept[0] is not None:
+            node_frame = node_frame.select(*[col(f) for f in node_frame.columns if f.startswith("_") or f in self.kept[0]])
         node_t = T.StructType(node_frame.schema.fields) if node_frame is not None else None
         here, ids, rels, mids = fresh("at"), fresh("ids"), fresh("rels"), fresh("mids")
         level = scope.df.withColumns({here: col(at), ids: F.array().cast("array<bigint>"), rels: F.array().cast(T.ArrayType(rel_t)) if list_wanted else F.lit(None).cast("string"), mids: F.array().cast(T.ArrayType(node_t)) if keep else F.lit(None).cast("string")})
@@ -431,10 +442,61 @@ class Matcher:
 
         for b in scope.vars.values():
             if b.kind == "node" and b.key == at:
-                return cast(b.val(), t)  # type: ignore[arg-type]
+                return cast(trimmed(b, self.kept[0]), t)  # type: ignore[arg-type]
         return F.lit(None).cast(t)  # type: ignore[arg-type]
 
 
+def trimmed(b: Binding, fields: frozenset[str] | None) -> Val:
+    """The entity with no more than these properties."""
+    return b.val() if fields is None else replace(b, fields={f: x for f, x in b.fields.items() if f.startswith("_") or f in fields}).val()
+
+
+def path_reads(clauses) -> dict[str, Reads]:
+    """What a query reads of its paths, where that is only lengths, sizes and properties inside list comprehensions."""
+    from quiver.plans.ast import Call, Comprehension, Projection, children
+
+    found: dict[str, list[set[str] | None]] = {}
+
+    def part(e) -> tuple[str, int] | None:
+        """The variable, and whether its nodes (0) or relationships (1) are listed."""
+        if isinstance(e, Call) and e.name in ("nodes", "relationships") and len(e.args) == 1 and isinstance(e.args[0], Var):
+            return e.args[0].name, int(e.name != "nodes")
+        return None
+
+    def properties(e, var: str) -> set[str] | None:
+        if isinstance(e, Prop) and e.base == Var(var):
+            return {e.key}
+        if isinstance(e, Var) and e.name == var or getattr(e, "var", None) == var:
+            return None
+        parts = [properties(c, var) for c in children(e)]
+        return None if None in parts else set().union(*parts)  # type: ignore[arg-type]
+
+    def go(e) -> bool:
+        """Whether all is told apart; a star reads everything."""
+        if isinstance(e, Projection) and e.star:
+            return False
+        if isinstance(e, Var):
+            found[e.name] = [None, None]
+            return True
+        rest = list(children(e))
+        if isinstance(e, Call) and e.name == "length" and len(e.args) == 1 and isinstance(e.args[0], Var):
+            found.setdefault(e.args[0].name, [set(), set()])
+            rest = []
+        elif isinstance(e, Call) and e.name == "size" and len(e.args) == 1 and part(e.args[0]):
+            found.setdefault(part(e.args[0])[0], [set(), set()])  # type: ignore[index]
+            rest = []
+        elif isinstance(e, Comprehension) and (at := part(e.source)):
+            rest = [x for x in (e.where, e.body) if x is not None]
+            own = found.setdefault(at[0], [set(), set()])
+            parts = [properties(x, e.var) for x in rest] if e.body is not None else [None]
+            own[at[1]] = None if None in parts or own[at[1]] is None else own[at[1]].union(*parts)  # type: ignore[union-attr, arg-type]
+        return all([go(c) for c in rest])
+
+    if not all([go(c) for c in clauses]):
+        return {}
+    return {k: (None if a is None else frozenset(a), None if z is None else frozenset(z)) for k, (a, z) in found.items()}
+
+
 def field_readers(clauses) -> set[str]:
     """Variables of which a query reads more than identity: all but those only counted or compared by id."""
     from quiver.plans.ast import Call, Node as N, NodePattern as NP, Path as P, Projection, RelPattern as RP, children

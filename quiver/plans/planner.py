@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from quiver.graph import PropertyGraph, col
 from quiver.operators import procedures, write
 from quiver.operators.aggregate import aggregate
-from quiver.operators.match import Matcher, field_readers
+from quiver.operators.match import Matcher, Reads, field_readers, path_reads
 from quiver.plans import checks
 from quiver.plans.ast import (
     Call, CallProc, Clause, Create, CypherError, Delete, Exists, Item, Match, Merge, Node, Order, PatternList, PatternTest, Projection, Query, Remove,
@@ -68,6 +68,7 @@ class Planner:
     stats: dict[str, int] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
     used: set[str] = field(default_factory=set)
+    reads: dict[str, Reads] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -89,7 +90,7 @@ class Planner:
         return dealt(df), names
 
     def single(self, clauses: tuple[Clause, ...], scope: Scope) -> tuple[DataFrame, list[str]]:
-        self.used = field_readers(clauses)
+        self.used, self.reads = field_readers(clauses), path_reads(clauses)
         if "*" in self.used:
             self.used |= {n.name for c in clauses for n in walk(c) if isinstance(n, Var)} | {v for c in clauses for n in walk(c) if (v := getattr(n, "var", None))}
         if any(isinstance(c, (Create, Merge, Set, Remove, Delete)) for c in clauses):
@@ -130,7 +131,9 @@ class Planner:
     # -- MATCH
 
     def matcher(self) -> Matcher:
-        return Matcher(self.graph, self.params, self.walk_cap, checkpoint, self.used, self.compiler, self.warnings)
+        m = Matcher(self.graph, self.params, self.walk_cap, checkpoint, self.used, self.compiler, self.warnings)
+        m.reads = self.reads
+        return m
 
     def match(self, scope: Scope, c: Match) -> Scope:
         if c.optional:

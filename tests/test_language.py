@@ -323,3 +323,18 @@ def test_bound_relationships_lead(spark):
     for text in list(cases)[:2] + list(cases)[9:]:
         plan = e.run(text).df._jdf.queryExecution().optimizedPlan().toString()
         assert "Join Cross" not in plan and not [x for x in plan.splitlines() if "Join Inner" in x and " = " not in x], text
+
+
+def test_paths_carry_what_is_read(spark):
+    e = empty(spark)
+    e.run("CREATE (a:P {k: 1, t: 'long text'})-[:T {w: 1, u: 'other text'}]->(b:P {k: 2, t: 'x'})-[:T {w: 2}]->(c:P {k: 3})")
+    plan = lambda text: e.run(text).df._jdf.queryExecution().analyzed().toString()
+    lists = "RETURN length(p) AS n, [x IN nodes(p) | x.k] AS k, [r IN relationships(p) | r.w] AS w, size(relationships(p)) AS s"
+    for pattern in ("p = (a)-[:T*1..2]->(b)", "p = (b)<-[:T*1..2]-(a)"):
+        assert ", k, mid@k" in plan(f"MATCH {pattern} {lists}") and ", t, mid@t" not in plan(f"MATCH {pattern} {lists}")
+        assert ", t, mid@t" in plan(f"MATCH {pattern} RETURN p")
+    assert sorted(rows(e, f"MATCH p = (a)-[:T*1..2]->(b) {lists}")) == [(1, [1, 2], [1], 1), (1, [2, 3], [2], 1), (2, [1, 2, 3], [1, 2], 2)]
+    assert sorted(rows(e, f"MATCH (b {{k: 3}}) MATCH p = (a)-[:T*1..2]->(b) {lists}")) == [(1, [2, 3], [2], 1), (2, [1, 2, 3], [1, 2], 2)]
+    assert rows(e, f"MATCH p = (a {{k: 1}})-[r:T]->(b) {lists}, r.u AS u") == [(1, [1, 2], [1], 1, "other text")]
+    assert rows(e, "MATCH p = (a {k: 1})-[:T]->(b) WITH p AS q, [x IN nodes(p) | x.k] AS k RETURN [x IN nodes(q) | x.t] AS t, k") == [(["long text", "x"], [1, 2])]
+    assert rows(e, "MATCH p = (a {k: 1})-[:T]->(b) RETURN [x IN nodes(p) WHERE x.t = 'x' | x.k] AS k, [x IN nodes(p) | properties(x).t] AS t") == [([2], ["long text", "x"])]
