@@ -104,19 +104,27 @@ def suffix_order(codes: np.ndarray, length: int) -> np.ndarray:
     done = min(8, length)
     if done < 8:
         key >>= np.uint64(8 * (8 - done))
+    small = np.int32 if n < 1 << 31 else np.int64
+    order = np.argsort(key).astype(small)
+    rank = np.empty(n + 1, small)
+    rank[n] = -1
+    tied = np.arange(n, dtype=small)  # places of order whose suffixes are not yet told apart
+    ranked = key[order]
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.ones(n, bool)
+        # Equal keys of neighbours in order have the rank of the first of them.
+        new = np.ones(len(tied), bool)
         new[1:] = ranked[1:] != ranked[:-1]
-        if done == length or new.all():
+        rank[order[tied]] = np.maximum.accumulate(np.where(new, tied, small(0)))
+        alone = new & np.append(new[1:], True)
+        tied = tied[~alone]
+        if done == length or not len(tied):
             return order
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
         step = min(done, length - done)
-        after = np.zeros(n, np.uint64)
-        after[: n - step] = rank[step:]
-        key = rank * np.uint64(n + 2) + after
+        at = order[tied]
+        key = rank[at] * np.int64(n + 2) + rank[np.minimum(at + small(step), small(n))]
+        # A group's places stay its own, as its rank comes first in the key.
+        by = np.argsort(key)
+        order[tied], ranked = at[by], key[by]
         done += step
 
 
@@ -129,26 +137,27 @@ def boundaries(codes: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     Symbol 0 separates texts; strings with one inside are not asked for, so it is put in front only once.
     """
     n = len(codes)
+    small = order.dtype.type
     bwt = codes[order - 1]
     by_symbol = np.argsort(bwt, kind="stable")
-    lf = np.empty(n, np.int64)
-    lf[by_symbol] = np.arange(n)
+    lf = np.empty(n, small)
+    lf[by_symbol] = np.arange(n, dtype=small)
     mark = np.zeros(n + 1, bool)
     mark[0] = mark[n] = True
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    lo, hi = np.zeros(1, small), np.full(1, n, small)
     for depth in range(length):
         if not len(lo):
             break
         size = hi - lo
-        owner = np.repeat(np.arange(len(lo)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + lo[owner]
+        owner = np.repeat(np.arange(len(lo), dtype=small), size)
+        place = np.arange(len(owner), dtype=small) + np.repeat((lo - (np.cumsum(size) - size)).astype(small), size)
         symbol, to = bwt[place], lf[place]
         if depth:
             inside = symbol > 0
             owner, symbol, to = owner[inside], symbol[inside], to[inside]
         if not len(to):
             break
-        rank = np.argsort(to)
+        rank = np.argsort(symbol, kind="stable")  # the order of to: places ascend, and lf does so within a symbol
         owner, symbol, to = owner[rank], symbol[rank], to[rank]
         new = np.ones(len(to), bool)
         new[1:] = (to[1:] != to[:-1] + 1) | (owner[1:] != owner[:-1]) | (symbol[1:] != symbol[:-1])
@@ -174,6 +183,10 @@ def repeated_starts(texts: list[bytes], ids: np.ndarray, starts: np.ndarray, len
     offset = np.arange(len(codes)) - begin[owner]
     valid = (offset + length <= sizes[owner])[order]
     group, at = group[valid], order[valid]
+    same = np.zeros(len(group) + 1, bool)
+    same[1:-1] = group[1:] == group[:-1]
+    several = same[1:] | same[:-1]
+    group, at = group[several], at[several]
     own, off = owner[at], offset[at]
     rank = np.lexsort((starts[own] + off, ids[own], group))
     group, own, off = group[rank], own[rank], off[rank]
@@ -290,7 +303,11 @@ def cut(text: bytes, gone: list[tuple[int, int]], length: int = LENGTH, kmer: in
     if len(text) < length:
         return [], text
     a, first, last = units(text, length, kmer)
-    again = ~first_of(a, unit_hashes(text, first, last, length))
+    ranked = np.sort(a)
+    if (ranked[1:] == ranked[:-1]).any():
+        again = ~first_of(a, unit_hashes(text, first, last, length))
+    else:  # no anchor twice, so no unit
+        again = np.zeros(len(a), bool)
     step = np.zeros(len(text) + 1, np.int64)
     np.add.at(step, first[again], 1)
     np.add.at(step, last[again] + length, -1)
